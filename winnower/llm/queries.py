@@ -25,8 +25,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnower.llm.mixing import taken
+
+    return taken(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_mixing": op3_mixing,
 }
 
 ORACLE: dict[str, str] = {}
