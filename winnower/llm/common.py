@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -129,8 +130,12 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: As _BYTE, but white space counts too: for runs that are compared as they stand.
+_EVERY = mix(np.arange(1001, 1257, dtype=np.uint64) * _PRIME)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word, with A-Z lowered if asked."""
+    """64-bit hash of each word, with A-Z lowered if asked.  Between words there must be nothing but white space."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     first, last = int(starts[0]), int(ends[-1])
@@ -144,6 +149,20 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix(h + (ends - starts).astype(np.uint64))
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte run, white space included; runs lie in order and don't overlap, empty ones hash to one value."""
+    out = np.zeros(len(starts), np.uint64)
+    full = np.flatnonzero(ends > starts)
+    if len(full):
+        a, b = starts[full], ends[full]
+        spans = b - a
+        at = np.arange(int(spans.sum()), dtype=np.int64) - np.repeat(np.cumsum(spans) - spans, spans)
+        value = _EVERY[data[np.repeat(a, spans) + at]]
+        value *= np.cumprod(np.full(int(spans.max()) + 1, _PRIME, np.uint64))[at]
+        out[full] = np.add.reduceat(value, np.cumsum(spans) - spans)
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
 def windows_of(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` consecutive word hashes; empty if there are fewer."""
     n = len(hashes) - size + 1
@@ -156,3 +175,38 @@ def windows_of(hashes: np.ndarray, size: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             factor = factor * _PRIME
     return mix(total + _U(size))
+
+
+class Block:
+    """Texts of some rows as bytes, with what has been worked out about them so far."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets, self.rows = data, offsets, len(offsets) - 1
+
+    def take(self, rows: np.ndarray) -> Block:
+        """The given rows alone."""
+        counts = (self.offsets[1:] - self.offsets[:-1])[rows]
+        ends = np.cumsum(counts)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.offsets[:-1][rows] - (ends - counts), counts)
+        return Block(self.data[at], np.concatenate([[0], ends]).astype(np.int64))
+
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return words_of(self.data, self.offsets)
+
+    @cached_property
+    def n_words(self) -> np.ndarray:
+        return np.diff(self.words[2])
+
+    @cached_property
+    def word_row(self) -> np.ndarray:
+        return np.repeat(np.arange(self.rows), self.n_words)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """Of each word as it stands."""
+        return word_hashes(self.data, self.words[0], self.words[1], lower=False)
+
+    def per_row(self, flags: np.ndarray) -> np.ndarray:
+        """Number of flagged bytes in each row."""
+        return np.diff(np.concatenate([[0], np.cumsum(flags)])[self.offsets])
