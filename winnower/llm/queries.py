@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnower.llm import quality_rules
+from winnower.llm import jaccard_join, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(_table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnower.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from winnower.llm.quality_rules import apply_rules
 
@@ -42,9 +48,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_jaccard_join": op4_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_jaccard_join": jaccard_join.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
