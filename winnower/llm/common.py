@@ -111,13 +111,13 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES):
         at = to
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word starts, word ends, for each row and the end the index of its first word)."""
+def words_of(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word starts, word ends, for each row and the end the index of its first word); ``blank``: bytes between words."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = blank[data]
     cut = np.empty(n + 1, bool)
     cut[0] = cut[n] = True
     cut[1:n] = space[:-1]

@@ -20,6 +20,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnower.llm import common, language_id
+
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.select("doc_id", common.held_out("doc_id").alias("held_out"), "lang_pred", "score", "n_switches")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from winnower.llm.packing import pack_documents
 
@@ -39,6 +47,15 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnower.llm import common, toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.predict(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    return found.select("doc_id", common.held_out("doc_id").alias("held_out"), "score", predicted, "n_toxic", "spans")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from winnower.llm.quality_rules import apply_rules
 
@@ -46,9 +63,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_toxicity": op5_toxicity,
     "op8_quality_rules": op8_quality_rules,
 }
 
