@@ -56,6 +56,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.held_out("doc_id").alias("held_out"), "score", predicted, "n_toxic", "spans")
 
 
+def op7_quality_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnower.llm import common
+    from winnower.llm.quality_sampling import resample
+
+    good = _table(spark, sf_dir, "labels").where("quality = 1").where(~common.held_out("doc_id"))
+    return resample(_table(spark, sf_dir, "documents"), good.select("doc_id")).withColumn("kept", F.col("selected"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from winnower.llm.quality_rules import apply_rules
 
@@ -68,14 +76,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnower.llm.license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
+    "op7_quality_sampling": op7_quality_sampling,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE: dict[str, str] = {
