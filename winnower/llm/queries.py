@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnower.llm import jaccard_join, quality_rules
+from winnower.llm import jaccard_join, quality_rules, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.held_out("doc_id").alias("held_out"), "score", predicted, "n_toxic", "spans")
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnower.llm.vector_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))[0]
+
+
 def op7_quality_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from winnower.llm import common
     from winnower.llm.quality_sampling import resample
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
+    "op6_vector_dedup": op6_vector_dedup,
     "op7_quality_sampling": op7_quality_sampling,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
@@ -96,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op4_jaccard_join": jaccard_join.SQL,
+    "op6_vector_dedup": vector_dedup.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
