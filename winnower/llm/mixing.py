@@ -16,7 +16,11 @@ repeated rows of one id are separate documents; extra columns are ignored; an em
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,9 +117,7 @@ def slot_blocks(spark, plan: list[dict], counts: np.ndarray, seed: int, per_task
     within = np.concatenate([np.zeros((len(counts), 1), np.int64), np.cumsum(counts, 1)], 1)
     shared = spark.sparkContext.broadcast((blocks, first_slot, given, within))
 
-    def make(batches):
-        import pyarrow as pa
-
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, first_slot, given, within = shared.value
         for batch in batches:
             at = batch.column(0).to_numpy()
@@ -160,8 +162,8 @@ def mix_documents(
 ) -> tuple[DataFrame, DataFrame]:
     """Returns the mix and the documents' sizes.
 
-    Mix: ``shard, slot, epoch, source_no, doc_id, size, first_word, n_words``: the words of each document that a slot
-    takes, in the order of ``slot`` and then ``start``.  Sizes: ``doc_id, source, size, source_no, source_size, target``.
+    Mix: ``shard, slot, epoch, source_no, doc_id, size, copy, first_word, n_words``: the words of each document that a slot
+    takes; ``copy`` numbers rows that share id and size, by source.  Sizes: ``doc_id, source, size, source_no, source_size, target``.
     Weights repeat over the sources in code-point order.
     """
     spark = docs.sparkSession
@@ -187,12 +189,14 @@ def mix_documents(
     counts = draw_counts(totals, shards, seed) if len(plan) else np.zeros((1, 0), np.int64)
     slots = slot_blocks(spark, plan, counts, seed)
     placed = laid_out(sized.where("size > 0").select("doc_id", "size", "source_no"), sum(r["n"] for r in found))
+    # rows that share id and size are told apart by their number
+    placed = placed.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("source_no", "start")))
     first, last = F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long")
     pieces = placed.withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("start"), F.col("block") * block)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     pieces = pieces.withColumns({"first_word": begin - F.col("start"), "n_words": end - begin})
-    mix = slots.join(pieces, ["source_no", "block"]).select("shard", "slot", "epoch", "source_no", "doc_id", "size", "start", "first_word", "n_words")
+    mix = slots.join(pieces, ["source_no", "block"]).select("shard", "slot", "epoch", "source_no", "doc_id", "size", "copy", "first_word", "n_words")
     return mix, sized
 
 
@@ -205,15 +209,56 @@ def _blocks_for(target: float, size: int, blocks: int) -> int:
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, size, source_size, target, taken``: words the mix takes of each document, repeats counted.
-
-    Rows that share id, size and source share the words taken from them evenly.
-    """
+    """``doc_id, size, source_size, target, taken``: words the mix takes of each document, repeats counted."""
     mix, sized = mix_documents(docs, **options)
-    key = ["source_no", "doc_id", "size", "start"]
-    per_doc = mix.groupBy(*key).agg(F.sum("n_words").alias("taken"))
-    # one row per document again: documents laid at different starts are different rows
-    per_doc = per_doc.select("source_no", "doc_id", "size", "taken", F.row_number().over(Window.partitionBy("source_no", "doc_id", "size").orderBy("start")).alias("_copy"))
-    sized = sized.withColumn("_copy", F.row_number().over(Window.partitionBy("source_no", "doc_id", "size").orderBy("doc_id")))
-    out = sized.join(per_doc, ["source_no", "doc_id", "size", "_copy"], "left")
+    per_doc = mix.groupBy("doc_id", "size", "copy").agg(F.sum("n_words").alias("taken"))
+    sized = sized.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("source_no")))
+    out = sized.join(per_doc, ["doc_id", "size", "copy"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+_WORD = re.compile(common.WORD)
+
+
+def _cut(text: str, spans: list[dict]) -> str:
+    """The words of the spans (first_word, n_words) of one pass; neighbours keep the white space between them."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    runs: list[list[int]] = []
+    for s in sorted(spans, key=lambda s: s["first_word"]):
+        end = s["first_word"] + s["n_words"]
+        if runs and runs[-1][1] == s["first_word"]:
+            runs[-1][1] = end
+        else:
+            runs.append([s["first_word"], end])
+    if runs == [[0, len(words)]]:
+        return text
+    return "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs)
+
+
+def mixed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """``docs`` as the mix has it: one row for each pass over a document that takes any of its words.
+
+    ``text`` holds the words taken in that pass, with the white space between neighbours as it was; runs that are
+    not neighbours are joined by a line break.  Other columns stay.
+    """
+    mix, _ = mix_documents(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")), **options)
+    spans = mix.groupBy("doc_id", "size", "copy", "epoch").agg(F.collect_list(F.struct("first_word", "n_words")).alias("_spans"))
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), F.col("copy").alias("_k"), "_spans")
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)).cast("long"), F.lit(0).cast("long"))
+    # one shuffle of the texts, by id, serves the numbering of rows that share id and size and the join
+    rows = docs.withColumn("_key", F.col(doc_id).cast("long")).repartition("_key").withColumn("_size", size)
+    same = Window.partitionBy("_key", "_size").orderBy(F.col(source).asc_nulls_last(), F.xxhash64(text))
+    rows = rows.withColumn("_copy", F.row_number().over(same))
+    own = ((F.col("_size") - F.col("_n")) == 0) & ((F.col("_copy") - F.col("_k")) == 0)
+    both = rows.join(spans, (F.col("_key") == F.col("_id")) & own).select(*docs.columns, "_spans")
+    at = docs.columns.index(text)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_cut(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(docs_columns)).to_pylist())]
+            arrays = [batch.column(k) for k in range(len(docs_columns))]
+            arrays[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=docs_columns)
+
+    docs_columns = docs.columns
+    return both.mapInArrow(cut, docs.schema)
