@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnower.plans import screening
+from winnower.plans import analysis, screening
 
-_MODULES = (screening,)
+_MODULES = (screening, analysis)
 flagship = screening.flagship
 
 
