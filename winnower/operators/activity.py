@@ -88,7 +88,7 @@ def earlier_context(queries: DataFrame, references: DataFrame, key: str, date: s
     r = references.select(F.lit(None).cast("long").alias("q_id"), F.col(key).alias("k"), F.col(date).alias("t"), F.col(value).cast("double").alias("v"), F.lit(1).alias("side"))
     both = q.unionByName(r)
     # peers of one date don't see each other: the frame ends before the current date
-    before = Window.partitionBy("k").orderBy(F.col("t").cast("timestamp").cast("double")).rangeBetween(Window.unboundedPreceding, -0.000001)
+    before = Window.partitionBy("k").orderBy(F.unix_micros(F.col("t").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
     out = both.withColumns({"earlier": F.count("v").over(before), "mean_earlier": F.avg("v").over(before), "latest": F.max(F.when(F.col("v").isNotNull(), F.struct("t", "v"))).over(before)})
     return out.where("side = 0").select(F.col("q_id").alias(ident), "earlier", "mean_earlier", F.col("latest.v").alias("latest"))
 

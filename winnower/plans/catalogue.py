@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnower.plans import analysis, screening
+from winnower.plans import analysis, choosing, measuring, screening
 
-_MODULES = (screening, analysis)
+_MODULES = (screening, analysis, choosing, measuring)
 flagship = screening.flagship
 
 
