@@ -186,10 +186,11 @@ def _score(out: np.ndarray, weights: np.ndarray, single, shared) -> np.ndarray:
 
 def train(texts: list[str], word_labels: list[np.ndarray], labels: list, rounds: int = 30, rate: float = 0.4, decay: float = 1e-4) -> Crf:
     """Maximise the conditional likelihood of the labelled sequences by AdaGrad over the whole (bounded) sample."""
-    column = pa.array(texts, pa.large_string())
-    ((_, _, data, offsets),) = common.text_chunks(column, 1 << 62)
+    if not texts:
+        return Crf(labels, np.zeros((1 << BITS, len(labels)), np.float32), np.zeros((len(labels), len(labels))))
+    ((_, _, data, offsets),) = common.text_chunks(pa.array(texts, pa.large_string()), 1 << 62)
     w = words(data, offsets)
-    gold = np.concatenate(word_labels) if word_labels else np.zeros(0, np.int64)
+    gold = np.concatenate(word_labels)
     K = len(labels)
     single, shared = features(w.low, w.form_starts, w.form_ends)
     shares = [(f, s, 1.0 / np.bincount(f, minlength=len(w.form_starts))[f]) for f, s in shared]
