@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnower.plans import analysis, choosing, measuring, screening
+from winnower.plans import analysis, choosing, measuring, screening, studies
 
-_MODULES = (screening, analysis, choosing, measuring)
+_MODULES = (screening, analysis, choosing, measuring, studies)
 flagship = screening.flagship
 
 
