@@ -178,38 +178,57 @@ def _unmeta(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def shared_postings(table: DataFrame) -> DataFrame:
-    """``token, node, meta, leader, leader_meta`` of the tokens in at least two nodes' prefixes.
+    """``token, node, meta, missing, leader, leader_meta`` of the tokens in at least two nodes' prefixes.
 
-    Each task reads its postings sorted by token and position, so the first of a token's run leads; a run is passed
-    on as it streams by, whatever its length.
+    A node links with nothing if fewer than l of its prefix tokens are in anyone else's, so such nodes go, and lists
+    that only they kept above one node with them.  ``missing`` counts a node's prefix tokens that nobody shares.
     """
     posted = table.where("ell > 0").select("node", "n", "ell", F.posexplode("prefix").alias("pos", "token"))
     posted = posted.select("token", _meta(F.col("n"), F.col("pos"), F.col("ell")).alias("meta"), "node")
-    posted = posted.repartition("token").withColumn("_p", F.col("meta").bitwiseAND(F.lit((1 << 34) - 1))).sortWithinPartitions("token", "_p", "node").drop("_p")
+    found = common.spool(_runs(posted.repartition("token")), "postings")
+    own = found.groupBy("node").agg(F.count_distinct("token").alias("c"), F.max("meta").alias("m"))
+    n, ell = F.shiftright("m", 34), F.col("m").bitwiseAND(F.lit(31))
+    length = n - F.floor((NUM * n + (DEN - 1)) / DEN).cast("long") + ell
+    own = own.where(F.col("c") >= ell).select("node", (length - F.col("c")).alias("missing"))
+    rest = found.select("token", "node", "meta").join(own, "node").select("token", "meta", "node", "missing")
+    return _runs(rest.repartition(common.parts_for(found.count(), 100_000), "token"))
+
+
+def _runs(posted: DataFrame) -> DataFrame:
+    """The postings of tokens that two nodes or more share, with the list's leader, as the sorted rows stream by.
+
+    The first of a token's run, by position, leads; a run is passed on whatever its length and never held.
+    """
+    posted = posted.withColumn("_p", F.col("meta").bitwiseAND(F.lit((1 << 34) - 1))).sortWithinPartitions("token", "_p", "node").drop("_p")
+    more = posted.columns[3:]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = None  # (token, node, meta, whether it has been passed on) of the run that the last batch ended in
+        lead = None  # (columns of the leader, whether it has been passed on) of the run that the last batch ended in
         for batch in batches:
-            token, meta, node = (batch.column(k).to_numpy() for k in range(3))
-            if not len(token):
+            cols = [batch.column(k).to_numpy() for k in range(3 + len(more))]
+            if not len(cols[0]):
                 continue
             if lead is not None:
-                token, meta, node = np.r_[lead[0], token], np.r_[lead[2], meta], np.r_[lead[1], node]
+                cols = [np.r_[a, c] for a, c in zip(lead[0], cols)]
+            token, meta, node = cols[:3]
             begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             sizes = np.diff(np.r_[begin, len(token)])
             head = np.repeat(begin, sizes)
             other = node != node[head]
+            other &= np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # a copy posted by another task
             many = np.add.reduceat(other, begin) > 0
             out = np.repeat(many, sizes) & (other | (np.arange(len(token)) == head))
-            if lead is not None and lead[3]:
+            passed = bool(many[-1])
+            if lead is not None and lead[1]:
                 out[0] = False
+                passed |= len(begin) == 1
             k = int(begin[-1])
-            lead = (token[k], node[k], meta[k], bool(many[-1]) or (lead is not None and k == 0 and lead[3]))
+            lead = ([c[k] for c in cols], passed)
             at = np.flatnonzero(out)
-            cols = (token[at], node[at], meta[at], node[head[at]], meta[head[at]])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["token", "node", "meta", "leader", "leader_meta"])
+            keep = [token[at], node[at], meta[at], *(c[at] for c in cols[3:]), node[head[at]], meta[head[at]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in keep], names=["token", "node", "meta", *more, "leader", "leader_meta"])
 
-    return posted.mapInArrow(runs, "token long, node long, meta long, leader long, leader_meta long")
+    return posted.mapInArrow(runs, "token long, node long, meta long, " + "".join(f"{c} long, " for c in more) + "leader long, leader_meta long")
 
 
 # ---- 3. stars
@@ -237,16 +256,18 @@ def star_pairs(shared: DataFrame) -> DataFrame:
 
 def cross_pairs(shared: DataFrame, comps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``a, b``: pairs of nodes in different components that share enough prefix tokens."""
-    rows = shared.select("token", "node", "meta").join(comps, "node", "left").select("token", "node", "meta", F.coalesce("component", "node").alias("comp"))
+    rows = shared.select("token", "node", "meta", "missing").join(comps, "node", "left")
+    rows = rows.select("token", "node", "meta", "missing", F.coalesce("component", "node").alias("comp"))
     lists = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     rows = rows.join(lists.select("token", F.ceil(F.col("c") / chunk).cast("int").alias("g")), "token")
     own = F.when(F.col("g") > 1, F.pmod(F.xxhash64("node"), F.col("g"))).otherwise(0).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "meta", "comp")
-    rows = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "comp", "node")
+    rows = rows.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "meta", "missing", "comp")
+    rows = rows.repartition(common.parts_for(shared.count(), 20_000), "token", "x", "y").sortWithinPartitions("token", "x", "y", "comp", "node")
 
-    def pairs(token, x, y, own, node, meta, comp):
+    def pairs(token, x, y, own, node, meta, missing, comp):
         n, pos, ell = _unmeta(meta)
+        most_shared = n - missing
         block = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
         for lo, hi in zip(block.tolist(), np.r_[block[1:], len(token)].tolist()):
             if comp[lo] == comp[hi - 1]:
@@ -261,7 +282,7 @@ def cross_pairs(shared: DataFrame, comps: DataFrame, chunk: int = CHUNK) -> Data
                         j = j[own[j] != own[i]]
                     need = -(-NUM * (n[i] + n[j]) // (NUM + DEN))
                     low = np.minimum(ell[i], ell[j])
-                    ok = (need <= np.minimum(n[i], n[j])) & (pos[i] < n[i] - need + low) & (pos[j] < n[j] - need + low)
+                    ok = (need <= np.minimum(most_shared[i], most_shared[j])) & (pos[i] < n[i] - need + low) & (pos[j] < n[j] - need + low)
                     j = j[ok]
                     if len(j):
                         yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), low[ok]
@@ -282,7 +303,7 @@ def cross_pairs(shared: DataFrame, comps: DataFrame, chunk: int = CHUNK) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=names)
 
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(7)]
+            cols = [batch.column(k).to_numpy() for k in range(8)]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             if not len(cols[0]):
