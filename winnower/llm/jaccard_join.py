@@ -254,8 +254,12 @@ def star_pairs(shared: DataFrame) -> DataFrame:
 # ---- 4. the rest
 
 
-def cross_pairs(shared: DataFrame, comps: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``a, b``: pairs of nodes in different components that share enough prefix tokens."""
+def cross_pairs(table: DataFrame, shared: DataFrame, comps: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``a, b``: pairs of nodes in different components that share enough prefix tokens.
+
+    l tokens shared within the first ``n - need + l`` places mean one within the first ``n - need + 1``: pairs are made
+    from those places only, and the l tokens are then counted on the two prefixes.
+    """
     rows = shared.select("token", "node", "meta", "missing").join(comps, "node", "left")
     rows = rows.select("token", "node", "meta", "missing", F.coalesce("component", "node").alias("comp"))
     lists = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
@@ -282,7 +286,7 @@ def cross_pairs(shared: DataFrame, comps: DataFrame, chunk: int = CHUNK) -> Data
                         j = j[own[j] != own[i]]
                     need = -(-NUM * (n[i] + n[j]) // (NUM + DEN))
                     low = np.minimum(ell[i], ell[j])
-                    ok = (need <= np.minimum(most_shared[i], most_shared[j])) & (pos[i] < n[i] - need + low) & (pos[j] < n[j] - need + low)
+                    ok = (need <= np.minimum(most_shared[i], most_shared[j])) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
                     j = j[ok]
                     if len(j):
                         yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), low[ok]
@@ -315,8 +319,14 @@ def cross_pairs(shared: DataFrame, comps: DataFrame, chunk: int = CHUNK) -> Data
         if held is not None:
             yield from emit(held)
 
-    found = rows.mapInArrow(run, "a long, b long, low long")
-    return found.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("low").alias("low")).where("c >= low").select("a", "b")
+    found = common.spool(rows.mapInArrow(run, "a long, b long, low long").distinct(), "cross")
+    nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    heads = table.where("ell > 0").select("node", "n", "prefix").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    both = found.join(heads.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
+    both = both.join(heads.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
+    spare = F.col("low") - F.ceil(NUM * (F.col("na") + F.col("nb")) / (NUM + DEN))
+    ends = [F.slice(f"p{k}", F.lit(1), (F.col(f"n{k}") + spare).cast("int")) for k in "ab"]
+    return both.where(F.size(F.array_intersect(*ends)) >= F.col("low")).select("a", "b")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, rep: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
@@ -363,7 +373,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     comps = components.connected(links)
     common.unspool(sets)
 
-    pairs = common.spool(cross_pairs(shared, comps), "cross")
+    pairs = common.spool(cross_pairs(table, shared, comps), "cross-checked")
     sets = common.spool(node_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes), "sets")
     comps = components.connected(links.unionAll(verified(pairs, sets)))
     common.unspool(sets)
