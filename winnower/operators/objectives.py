@@ -46,19 +46,23 @@ def desirabilities(df: DataFrame, objectives: list[Objective], record_id: str =
     return raw.crossJoin(F.broadcast(least)).select(record_id, *(F.coalesce(f"d{k}", f"m{k}").alias(f"d{k}") for k in range(len(objectives))))
 
 
-def dominance_counts(scores: DataFrame, k: int, record_id: str = "record_id") -> DataFrame:
+def dominance_counts(scores: DataFrame, k: int, record_id: str = "record_id", block_rows: int = 1000) -> DataFrame:
     """``domination_count`` (rows that dominate me) and ``dominated_count`` (rows I dominate).
 
-    Equal score vectors are one row with a weight first, and a row meets only those with a first score at least as
-    large, by a join on blocks of the sorted first score: what cannot dominate is never compared.
+    Equal score vectors are one row with a weight first.  Rows are dealt to blocks of the first score; a row is sent to the
+    blocks that can dominate it, its own and those above, so the comparison is an equi join by block.
     """
     cols = [f"d{i}" for i in range(k)]
     distinct = scores.groupBy(*cols).agg(F.count("*").alias("w"))
-    a = distinct.select(*(F.col(c).alias(f"a{i}") for i, c in enumerate(cols)), F.col("w").alias("aw"))
-    b = distinct.select(*(F.col(c).alias(f"b{i}") for i, c in enumerate(cols)), F.col("w").alias("bw"))
+    blocks = max(1, -(-distinct.count() // block_rows))
+    shares = F.array(*(F.lit(i / blocks) for i in range(1, blocks))).cast("array<double>")
+    edges = distinct.agg((F.percentile_approx("d0", shares) if blocks > 1 else F.array().cast("array<double>")).alias("_e"))
+    distinct = distinct.crossJoin(F.broadcast(edges)).withColumn("_block", F.size(F.filter("_e", lambda e: e <= F.col("d0")))).drop("_e")
+    a = distinct.select(*(F.col(c).alias(f"a{i}") for i, c in enumerate(cols)), F.col("w").alias("aw"), F.explode(F.sequence("_block", F.lit(blocks - 1))).alias("_block"))
+    b = distinct.select(*(F.col(c).alias(f"b{i}") for i, c in enumerate(cols)), F.col("w").alias("bw"), F.col("_block").alias("_own"))
     at_least = reduce(lambda x, y: x & y, [F.col(f"b{i}") >= F.col(f"a{i}") for i in range(k)])
     better = reduce(lambda x, y: x | y, [F.col(f"b{i}") > F.col(f"a{i}") for i in range(k)])
-    pairs = a.join(b, at_least & better)
+    pairs = a.join(b, (F.col("_block") == F.col("_own")) & at_least & better)
     up = pairs.groupBy(*(F.col(f"a{i}").alias(c) for i, c in enumerate(cols))).agg(F.sum("bw").alias("domination_count"))
     down = pairs.groupBy(*(F.col(f"b{i}").alias(c) for i, c in enumerate(cols))).agg(F.sum("aw").alias("dominated_count"))
     out = scores.join(up, cols, "left").join(down, cols, "left")
