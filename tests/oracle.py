@@ -43,6 +43,6 @@ def assert_same(got: pd.DataFrame, want: pd.DataFrame) -> None:
     for x, y in zip(a, b):
         for u, v in zip(x, y):
             if isinstance(u, float) and isinstance(v, (int, float)) and not isinstance(v, bool):
-                assert abs(u - v) <= 1e-6 * max(1.0, abs(u)), (x, y)
+                assert u == v or abs(u - v) <= 1e-6 * max(1.0, abs(u)), (x, y)
             else:
                 assert u == v, (x, y)
