@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def spool(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def spool(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return the table.
 
     Cuts the lineage: a lost executor costs at most the tasks it ran, and nothing upstream runs twice.

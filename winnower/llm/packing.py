@@ -322,6 +322,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     Returns the stored pieces with their ids, the index ``doc_id, piece, start, length, ids_crc32, sequence_id,
     offset`` and the account of the search.  Only lengths and checksums are shuffled, never ids.
     """
-    stored = common.spool(token_pieces(docs, tokenizer, capacity, end_id), "token-pieces")
+    stored = common.spool(token_pieces(docs, tokenizer, capacity, end_id), "token-pieces", "zstd")
     index, found = pack(stored.withColumn("ids_crc32", F.crc32("ids")), capacity, node_limit, ["ids_crc32"])
     return stored, index, found
