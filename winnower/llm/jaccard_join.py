@@ -38,7 +38,7 @@ NUM, DEN = 3, 4
 SKETCH_BITS = 22
 _PIECE = 1 << 14
 #: Choices of l.
-_ELLS = np.array([1, 2, 3, 4, 6, 8, 12, 16])
+_ELLS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48])
 #: Cost of verifying one token of a candidate, in units of writing one posting.
 _VERIFY = 0.25
 #: Members of a token's list that one task compares with one another.
@@ -170,11 +170,11 @@ def prefixes(docs: DataFrame, sketch, bits: int) -> DataFrame:
 
 def _meta(n: Column, pos: Column, ell: Column) -> Column:
     """Set size, position and l in one long."""
-    return F.shiftleft(n.cast("long"), 34).bitwiseOR(F.shiftleft(pos.cast("long"), 5)).bitwiseOR(ell.cast("long"))
+    return F.shiftleft(n.cast("long"), 34).bitwiseOR(F.shiftleft(pos.cast("long"), 8)).bitwiseOR(ell.cast("long"))
 
 
 def _unmeta(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return meta >> 34, (meta >> 5) & ((1 << 29) - 1), meta & 31
+    return meta >> 34, (meta >> 8) & ((1 << 26) - 1), meta & 255
 
 
 def shared_postings(table: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def shared_postings(table: DataFrame) -> DataFrame:
     posted = posted.select("token", _meta(F.col("n"), F.col("pos"), F.col("ell")).alias("meta"), "node")
     found = common.spool(_runs(posted.repartition("token")), "postings")
     own = found.groupBy("node").agg(F.count_distinct("token").alias("c"), F.max("meta").alias("m"))
-    n, ell = F.shiftright("m", 34), F.col("m").bitwiseAND(F.lit(31))
+    n, ell = F.shiftright("m", 34), F.col("m").bitwiseAND(F.lit(255))
     length = n - F.floor((NUM * n + (DEN - 1)) / DEN).cast("long") + ell
     own = own.where(F.col("c") >= ell).select("node", (length - F.col("c")).alias("missing"))
     rest = found.select("token", "node", "meta").join(own, "node").select("token", "meta", "node", "missing")
@@ -239,7 +239,7 @@ def _size(meta: str) -> Column:
 
 
 def _ell(meta: str) -> Column:
-    return F.col(meta).bitwiseAND(F.lit(31))
+    return F.col(meta).bitwiseAND(F.lit(255))
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
