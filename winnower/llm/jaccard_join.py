@@ -82,8 +82,9 @@ def _sum_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_pack(c) for c in total.values()], pa.binary())], names=["piece", "counts"])
 
 
-def shingle_sketch(texts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Number of documents per hash slot, on a logarithmic scale above the mean: one byte a slot, 2**bits slots.
+def shingle_sketch(texts: DataFrame, bits: int = SKETCH_BITS) -> tuple[np.ndarray, float]:
+    """Number of documents per hash slot, on a logarithmic scale above the mean: one byte a slot, 2**bits slots; and the
+    noise of the slots, the root of the mean.
 
     Counters have one size whatever the input's.  They are added up on the executors in two levels; the driver gets
     2**bits bytes or little more.
@@ -108,7 +109,7 @@ def shingle_sketch(texts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     for r in summed:
         counts[r["piece"] * width : (r["piece"] + 1) * width] += _unpack(bytes(r["counts"]))
     over = np.maximum(counts.astype(np.float64) - np.floor(counts.mean()), 0)
-    return np.minimum(255, np.floor(8 * np.log2(1 + over))).astype(np.uint8)
+    return np.minimum(255, np.floor(8 * np.log2(1 + over))).astype(np.uint8), float(np.sqrt(counts.mean()))
 
 
 # ---- 2. prefixes
@@ -134,8 +135,8 @@ def prefixes(docs: DataFrame, sketch, bits: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = sketch.value, set()
-        guess = 2 ** (np.arange(256) / 8) - 1
+        (order, noise), seen = sketch.value, set()
+        guess = 2 ** (np.arange(256) / 8) - 1 + noise  # a slot at the mean may still hide that many
         for batch in batches:
             sizes, nodes, ells, tokens, ends = [], [], [], [], [0]
             for _, sets in row_sets(batch.column(1)):
