@@ -102,7 +102,9 @@ def test_toxicity_edge_cases(spark, awkward, clashing, nothing):
 
 def test_spans_point_at_words(spark):
     text = "quiet words here " * 5
-    rows = [(k, text + ("grumble zorgon" if k % 2 else "nothing bad")) for k in range(400)]
+    # copies count once, so each text has a word of its own
+    own = ["".join(chr(97 + int(c)) for c in str(k)) for k in range(400)]
+    rows = [(k, f"{own[k]} {text}" + ("grumble zorgon" if k % 2 else "nothing bad")) for k in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int"))
     for r in toxicity.predict(docs, model).where("doc_id < 20").collect():
