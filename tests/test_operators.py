@@ -195,7 +195,7 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     table = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     folder = str(tmp_path / "events")
     table.repartition(3).write.parquet(folder)
-    stream = E.windowed(E.deduplicated(E.read_events(spark, folder), "400 days"), "1 day", late="400 days")
+    stream = E.windowed(E.read_events(spark, folder, late="400 days"), "1 day")
     q = stream.writeStream.outputMode("update").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {(r["start"], r["event_type"]): r["n"] for r in spark.sql("SELECT start, event_type, max(n) AS n FROM windows GROUP BY 1, 2").collect()}

@@ -137,8 +137,8 @@ class Profile:
         broken = [~r.satisfied() for r in self.rules]
         hard = reduce(lambda a, b: a + b, [b.cast("long") for r, b in zip(self.rules, broken) if r.severity == "hard"], F.lit(0).cast("long"))
         soft = reduce(lambda a, b: a + b, [b.cast("long") for r, b in zip(self.rules, broken) if r.severity == "soft"], F.lit(0).cast("long"))
-        bits = [F.when(b, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, b in enumerate(broken)]
-        mask = reduce(lambda a, b: a.bitwiseOR(b), bits) if len(bits) <= MASK_RULES else F.lit(None).cast("long")
+        bits = [F.when(b, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, b in enumerate(broken[:MASK_RULES])]
+        mask = reduce(lambda a, b: a.bitwiseOR(b), bits) if len(broken) <= MASK_RULES else F.lit(None).cast("long")
         return {
             f"{self.id}__passed": hard <= F.lit(self.max_violations or 0),
             f"{self.id}__violations": hard,

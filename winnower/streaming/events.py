@@ -9,28 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_events(spark: SparkSession, folder: str, schema=None, files_per_trigger: int = 10) -> DataFrame:
-    """A stream over a folder of Parquet files with columns like ``events``; time becomes a zoned timestamp."""
+def read_events(spark: SparkSession, folder: str, schema=None, files_per_trigger: int = 10, late: str = "1 hour") -> DataFrame:
+    """A stream over a folder of Parquet files with columns like ``events``; time becomes a zoned timestamp with a watermark."""
     schema = schema or spark.read.parquet(folder).schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def windowed(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
+def windowed(events: DataFrame, width: str, slide: str | None = None) -> DataFrame:
     """Counts and sums per event-time window and type; works on a stream and on a table alike."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    return rows.groupBy(F.window("ts", width, slide or width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", "w.end", "event_type", "n", "total")
+    return events.groupBy(F.window("ts", width, slide or width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", "w.end", "event_type", "n", "total")
 
 
-def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
+def sessions(events: DataFrame, gap: str) -> DataFrame:
     """Sessions of each user, closed after ``gap`` without events."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", "w.start", "w.end", "n")
+    return events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", "w.start", "w.end", "n")
 
 
-def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
+def deduplicated(events: DataFrame) -> DataFrame:
     """Each event id once, as long as copies come within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
+    return events.dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
 def running_counts(events: DataFrame) -> DataFrame:
