@@ -179,19 +179,18 @@ def _unmeta(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def shared_postings(table: DataFrame) -> DataFrame:
-    """``token, node, meta, missing, leader, leader_meta`` of the tokens in at least two nodes' prefixes.
+    """``token, node, meta, leader, leader_meta`` of the tokens in at least two nodes' prefixes.
 
     A node links with nothing if fewer than l of its prefix tokens are in anyone else's, so such nodes go, and lists
-    that only they kept above one node with them.  ``missing`` counts a node's prefix tokens that nobody shares.
+    that only they kept above one node with them.  A token that nobody else posts says nothing more: it may still be in
+    another's set, beyond the end of that prefix.
     """
     posted = table.where("ell > 0").select("node", "n", "ell", F.posexplode("prefix").alias("pos", "token"))
     posted = posted.select("token", _meta(F.col("n"), F.col("pos"), F.col("ell")).alias("meta"), "node")
     found = common.spool(_runs(posted.repartition("token")), "postings")
     own = found.groupBy("node").agg(F.count_distinct("token").alias("c"), F.max("meta").alias("m"))
-    n, ell = F.shiftright("m", 34), F.col("m").bitwiseAND(F.lit(255))
-    length = n - F.floor((NUM * n + (DEN - 1)) / DEN).cast("long") + ell
-    own = own.where(F.col("c") >= ell).select("node", (length - F.col("c")).alias("missing"))
-    rest = found.select("token", "node", "meta").join(own, "node").select("token", "meta", "node", "missing")
+    own = own.where(F.col("c") >= _ell("m")).select("node")
+    rest = found.select("token", "node", "meta").join(own, "node", "left_semi").select("token", "meta", "node")
     return _runs(rest.repartition(common.parts_for(found.count(), 100_000), "token"))
 
 
@@ -201,12 +200,11 @@ def _runs(posted: DataFrame) -> DataFrame:
     The first of a token's run, by position, leads; a run is passed on whatever its length and never held.
     """
     posted = posted.withColumn("_p", F.col("meta").bitwiseAND(F.lit((1 << 34) - 1))).sortWithinPartitions("token", "_p", "node").drop("_p")
-    more = posted.columns[3:]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = None  # (columns of the leader, whether it has been passed on) of the run that the last batch ended in
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(3 + len(more))]
+            cols = [batch.column(k).to_numpy() for k in range(3)]
             if not len(cols[0]):
                 continue
             if lead is not None:
@@ -226,10 +224,10 @@ def _runs(posted: DataFrame) -> DataFrame:
             k = int(begin[-1])
             lead = ([c[k] for c in cols], passed)
             at = np.flatnonzero(out)
-            keep = [token[at], node[at], meta[at], *(c[at] for c in cols[3:]), node[head[at]], meta[head[at]]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in keep], names=["token", "node", "meta", *more, "leader", "leader_meta"])
+            keep = [token[at], node[at], meta[at], node[head[at]], meta[head[at]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in keep], names=["token", "node", "meta", "leader", "leader_meta"])
 
-    return posted.mapInArrow(runs, "token long, node long, meta long, " + "".join(f"{c} long, " for c in more) + "leader long, leader_meta long")
+    return posted.mapInArrow(runs, "token long, node long, meta long, leader long, leader_meta long")
 
 
 # ---- 3. stars
@@ -259,20 +257,21 @@ def cross_pairs(table: DataFrame, shared: DataFrame, comps: DataFrame, chunk: in
     """``a, b``: pairs of nodes in different components that share enough prefix tokens.
 
     l tokens shared within the first ``n - need + l`` places mean one within the first ``n - need + 1``: pairs are made
-    from those places only, and the l tokens are then counted on the two prefixes.
+    from those places only, and the l tokens are then counted on the two prefixes.  A token at places p and q leaves room
+    for ``min(p, q)`` common tokens before it and for the shorter of the two remainders after it.
     """
-    rows = shared.select("token", "node", "meta", "missing").join(comps, "node", "left")
-    rows = rows.select("token", "node", "meta", "missing", F.coalesce("component", "node").alias("comp"))
+    rows = shared.select("token", "node", "meta").join(comps, "node", "left")
+    rows = rows.select("token", "node", "meta", F.coalesce("component", "node").alias("comp"))
     lists = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     rows = rows.join(lists.select("token", F.ceil(F.col("c") / chunk).cast("int").alias("g")), "token")
     own = F.when(F.col("g") > 1, F.pmod(F.xxhash64("node"), F.col("g"))).otherwise(0).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "meta", "missing", "comp")
+    rows = rows.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "meta", "comp")
     rows = rows.repartition(common.parts_for(shared.count(), 20_000), "token", "x", "y").sortWithinPartitions("token", "x", "y", "comp", "node")
 
-    def pairs(token, x, y, own, node, meta, missing, comp):
+    def pairs(token, x, y, own, node, meta, comp):
         n, pos, ell = _unmeta(meta)
-        most_shared = n - missing
+        after = n - pos
         block = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
         for lo, hi in zip(block.tolist(), np.r_[block[1:], len(token)].tolist()):
             if comp[lo] == comp[hi - 1]:
@@ -287,7 +286,7 @@ def cross_pairs(table: DataFrame, shared: DataFrame, comps: DataFrame, chunk: in
                         j = j[own[j] != own[i]]
                     need = -(-NUM * (n[i] + n[j]) // (NUM + DEN))
                     low = np.minimum(ell[i], ell[j])
-                    ok = (need <= np.minimum(most_shared[i], most_shared[j])) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
+                    ok = (need <= np.minimum(pos[i], pos[j]) + np.minimum(after[i], after[j])) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
                     j = j[ok]
                     if len(j):
                         yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), low[ok]
@@ -308,7 +307,7 @@ def cross_pairs(table: DataFrame, shared: DataFrame, comps: DataFrame, chunk: in
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=names)
 
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(8)]
+            cols = [batch.column(k).to_numpy() for k in range(7)]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             if not len(cols[0]):
