@@ -29,3 +29,12 @@ def test_subsets_and_supersets(spark):
         cut = 20 + k % 20
         texts += [base, base[cut:], base[:-cut]]
     same_as_brute(spark, texts, 16)
+
+
+def test_short_documents_of_a_frequent_passage(spark):
+    rng = random.Random(12)
+    passage = fresh(rng, 120)
+    texts = [fresh(rng, 150) + passage + fresh(rng, 150) for _ in range(300)]
+    head = fresh(rng, 4)
+    texts += [head + passage, head + passage + fresh(rng, 36)]
+    same_as_brute(spark, texts, 18)

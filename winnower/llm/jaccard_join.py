@@ -181,25 +181,25 @@ def _unmeta(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def shared_postings(table: DataFrame) -> DataFrame:
     """``token, node, meta, leader, leader_meta`` of the tokens in at least two nodes' prefixes.
 
-    A node links with nothing if fewer than l of its prefix tokens are in anyone else's, so such nodes go, and lists
-    that only they kept above one node with them.  A token that nobody else posts says nothing more: it may still be in
+    A pair shares the smaller of its two l's.  So a node links with nothing if fewer of its prefix tokens are in anyone
+    else's than the least l in any of its lists; such nodes go, and lists that only they kept above one node with them.  A token that nobody else posts says nothing more: it may still be in
     another's set, beyond the end of that prefix.
     """
     posted = table.where("ell > 0").select("node", "n", "ell", F.posexplode("prefix").alias("pos", "token"))
     posted = posted.select("token", _meta(F.col("n"), F.col("pos"), F.col("ell")).alias("meta"), "node")
-    found = common.spool(_runs(posted.repartition("token")), "postings")
-    own = found.groupBy("node").agg(F.count_distinct("token").alias("c"), F.max("meta").alias("m"))
-    own = own.where(F.col("c") >= _ell("m")).select("node")
+    found = common.spool(_runs(posted.repartition("token"), 255), "postings")  # led by the least l
+    own = found.groupBy("node").agg(F.count_distinct("token").alias("c"), F.min(_ell("leader_meta")).alias("least"))
+    own = own.where("c >= least").select("node")
     rest = found.select("token", "node", "meta").join(own, "node", "left_semi").select("token", "meta", "node")
     return _runs(rest.repartition(common.parts_for(found.count(), 100_000), "token"))
 
 
-def _runs(posted: DataFrame) -> DataFrame:
+def _runs(posted: DataFrame, by: int = (1 << 34) - 1) -> DataFrame:
     """The postings of tokens that two nodes or more share, with the list's leader, as the sorted rows stream by.
 
-    The first of a token's run, by position, leads; a run is passed on whatever its length and never held.
+    The first of a token's run leads, by position or by other bits of ``meta``; a run is passed on whatever its length and never held.
     """
-    posted = posted.withColumn("_p", F.col("meta").bitwiseAND(F.lit((1 << 34) - 1))).sortWithinPartitions("token", "_p", "node").drop("_p")
+    posted = posted.withColumn("_p", F.col("meta").bitwiseAND(F.lit(by))).sortWithinPartitions("token", "_p", "node").drop("_p")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = None  # (columns of the leader, whether it has been passed on) of the run that the last batch ended in
