@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from winnower.functions.columns import percent_rank
+from winnower.functions.columns import percent_rank, spread_ranked
 
 
 @dataclass(frozen=True)
@@ -91,15 +91,45 @@ def pareto_ranks(values: np.ndarray) -> np.ndarray:
     return rank[which.ravel()]
 
 
+def _fronts_by_blocks(scores: DataFrame, cols: list[str], block_rows: int) -> DataFrame:
+    """``*cols, pareto_rank`` of the distinct rows: 1 more than the highest rank among a row's dominators.
+
+    In descending order whatever dominates a row comes before it, so blocks are settled in that order.  The driver holds
+    one block; earlier blocks are compared with it where they lie.
+    """
+    spark = scores.sparkSession
+    rows = spread_ranked(scores.select(*cols).distinct(), [F.desc(c) for c in cols], "_place").withColumn("_block", F.floor((F.col("_place") - 1) / block_rows)).persist()
+    settled: DataFrame | None = None
+    for b in range(rows.agg(F.max("_block")).first()[0] + 1):
+        values = rows.where(F.col("_block") == b).orderBy("_place").select(*cols).toPandas().to_numpy(float)
+        rank = np.ones(len(values), np.int64)
+        if settled is not None:
+
+            def above(frames: Iterator[pd.DataFrame], values=values) -> Iterator[pd.DataFrame]:
+                for f in frames:
+                    earlier, ranks = f[cols].to_numpy(float), f["pareto_rank"].to_numpy()
+                    best = [ranks[(earlier >= v).all(1)].max(initial=0) for v in values]
+                    yield pd.DataFrame({"i": np.arange(len(values)), "best": np.array(best, np.int64)})
+
+            for r in settled.mapInPandas(above, "i long, best long").groupBy("i").agg(F.max("best").alias("best")).collect():
+                rank[r["i"]] = r["best"] + 1
+        for i in range(1, len(values)):
+            rank[i] = max(rank[i], 1 + rank[:i][(values[:i] >= values[i]).all(1)].max(initial=0))
+        done = spark.createDataFrame(pd.DataFrame(values, columns=cols).assign(pareto_rank=rank))
+        settled = done if settled is None else settled.unionAll(done)
+    rows.unpersist()
+    return settled
+
+
 def ranked_fronts(scores: DataFrame, k: int, exact_rows: int = 5000, record_id: str = "record_id") -> DataFrame:
-    """``pareto_rank`` of each row, exact up to ``exact_rows`` rows in one bounded kernel; an error beyond.
+    """``pareto_rank`` of each row: one bounded kernel up to ``exact_rows`` rows, blocks of as many distinct rows beyond.
 
-    Larger pools take ``weighted_priority`` instead.
+    Time grows with the square of the rows; ``weighted_priority`` is the cheap order of a very large pool.
     """
     n = scores.limit(exact_rows + 1).count()
-    if n > exact_rows:
-        raise ValueError(f"exact fronts take at most {exact_rows} rows; use weighted_priority")
     cols = [f"d{i}" for i in range(k)]
+    if n > exact_rows:
+        return scores.join(_fronts_by_blocks(scores, cols, exact_rows), cols).select(record_id, "pareto_rank")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pool = pd.concat(list(frames), ignore_index=True)
