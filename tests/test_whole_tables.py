@@ -23,3 +23,20 @@ def test_fronts_by_blocks_equal_the_kernel(spark):
     scores = spark.createDataFrame([(i, *v) for i, v in enumerate(values.tolist())], "record_id long, d0 double, d1 double, d2 double")
     got = {r["record_id"]: r["pareto_rank"] for r in objectives.ranked_fronts(scores, 3, exact_rows=60).collect()}
     assert [got[i] for i in range(400)] == objectives.pareto_ranks(values).tolist()
+
+
+def test_connected_groups_of_all_orders(spark, sf):
+    pairs = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().collect()
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for o, s in pairs:
+        a, b = sorted((find(("o", o)), find(("s", s))))  # orders before suppliers, the least order leads
+        parent[b] = a
+    got = {r["l_orderkey"]: r["component"] for r in QUERIES["connected_groups_all"](spark, sf).collect()}
+    assert got == {o: find(("o", o))[1] for o, _ in pairs}
+    assert len(got) > QUERIES["connected_groups"](spark, sf).count()

@@ -63,6 +63,11 @@ def connected_groups(spark: SparkSession, sf: str) -> DataFrame:
     return S.connected_groups(li, "l_orderkey", "l_suppkey")
 
 
+def connected_groups_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all orders; ``connected_groups`` takes the few that its recursive SQL can follow."""
+    return S.connected_groups(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_orderkey", "l_suppkey")
+
+
 def descriptor_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return S.linear_histogram(records(spark, sf), "price", 25, F.col("size") > 25)
 
@@ -134,7 +139,7 @@ _MOLS = "mol AS (SELECT * FROM (VALUES " + ", ".join("({}, {})".format(k, ", ".j
 QUERIES = {
     f.__name__: f
     for f in (
-        hash_sample, background_sample, round_robin_pick, rejection_reasons, temporal_reserve, label_matrix, feature_support, threshold_sweep, bootstrap_interval, connected_groups,
+        hash_sample, background_sample, round_robin_pick, rejection_reasons, temporal_reserve, label_matrix, feature_support, threshold_sweep, bootstrap_interval, connected_groups, connected_groups_all,
         descriptor_histogram, violation_counts, zone_statistics, entropy_weights, dominance_warning, pattern_gate, basket_overlap, structure_counts, structure_profiles,
     )
 }
