@@ -46,6 +46,13 @@ def evidence_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return A.lookup(users, index, "user_id")
 
 
+def evidence_lookup_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All customers against the evidence of all events; ``evidence_lookup`` takes a part of both."""
+    index = A.evidence(_measured(spark, sf), "user_id", "value", "relation", "source")
+    users = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
+    return A.lookup(users, index, "user_id")
+
+
 def conflict_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     m = _measured(spark, sf).withColumn("y", A.censored_label(F.col("value"), F.col("relation"), 50.0))
     return A.quarantine(m, ["user_id", "event_type"], "y").select("event_id")
@@ -195,7 +202,7 @@ def returns_cube(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        censored_labels, p_activity, measurement_audit, evidence_lookup, conflict_quarantine, hash_split, temporal_split, split_leakage, temporal_context, roc_auc, metrics_at_n,
+        censored_labels, p_activity, measurement_audit, evidence_lookup, evidence_lookup_all, conflict_quarantine, hash_split, temporal_split, split_leakage, temporal_context, roc_auc, metrics_at_n,
         avg_precision, bedroc, brier_ece, macro_metrics, balanced_weights, effective_n, weighted_ecdf, ecdf_lookup, pattern_support, tolerance_calibration, conformal_cutoffs,
         prediction_sets, logistic_score, contextual_priority, information_queue, rescue_selection, event_windows, event_sessions, returns_cube,
     )
@@ -213,6 +220,8 @@ ORACLE = {
     "measurement_audit": f'WITH {MS} SELECT event_type, count(*) AS "rows", count(value) AS measured, count(*) FILTER (relation <> \'=\') AS censored, count(DISTINCT value) AS distinct_values FROM ms GROUP BY GROUPING SETS ((event_type), ())',
     "evidence_lookup": f"""WITH {MS}, i AS (SELECT user_id, count(*) AS n, min(value) AS least, max(value) AS greatest, string_agg(DISTINCT relation, ';' ORDER BY relation) AS qualities, string_agg(DISTINCT source, ';' ORDER BY source) AS sources
       FROM ms WHERE event_id % 3 = 0 GROUP BY user_id) SELECT c_custkey AS user_id, coalesce(n, 0)::BIGINT AS n, least, greatest, qualities, sources FROM customer LEFT JOIN i ON user_id = c_custkey WHERE c_custkey <= 300""",
+    "evidence_lookup_all": f"""WITH {MS}, i AS (SELECT user_id, count(*) AS n, min(value) AS least, max(value) AS greatest, string_agg(DISTINCT relation, ';' ORDER BY relation) AS qualities, string_agg(DISTINCT source, ';' ORDER BY source) AS sources
+      FROM ms GROUP BY user_id) SELECT c_custkey AS user_id, coalesce(n, 0)::BIGINT AS n, least, greatest, qualities, sources FROM customer LEFT JOIN i ON user_id = c_custkey""",
     "conflict_quarantine": f"""WITH {MS}, y AS (SELECT *, {_LABEL} AS y FROM ms) SELECT event_id FROM y WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM y GROUP BY user_id, event_type HAVING min(y) < max(y))""",
     "hash_split": f"WITH h AS (SELECT DISTINCT user_id, {_HASH.format('user_id')} AS h FROM events) SELECT user_id, {_SPLIT} AS split FROM h",
     "temporal_split": "SELECT o_orderkey, CASE WHEN max(o_orderdate) OVER (PARTITION BY o_custkey) >= TIMESTAMP '1997-06-01' THEN 'external' ELSE 'development' END AS split FROM orders",
