@@ -7,8 +7,8 @@
 4.  The adjacency lists of a node's shards are united.
 5.  In each shard every node searches the united graph: greedily from the shard's medoids, then expanding whatever lies
     within the range (and a margin around it) until nothing new is in range.  Every hit is verified in double precision.
-6.  Recall is audited against brute force for a sample of nodes over all nodes; below ``least_recall`` the index is built again
-    with more overlap.
+6.  Recall is audited against brute force for a twentieth of the nodes over all nodes; below ``least_recall`` the index is
+    built again with more overlap.  With no link to judge by, or no overlap left to add, all pairs within a label are compared.
 
 Shards return each node's number of links and a spanning forest, never all pairs.  A pair of nodes that share several
 shards is counted in the first.  A shard over ``max_shard`` nodes is dealt as pairs of chunks, which together hold every pair.
@@ -272,12 +272,51 @@ def links(nodes: DataFrame, cents: np.ndarray, overlap: int, threshold: float, m
     return common.spool(found, "vectors-links")
 
 
-def audit(nodes: DataFrame, counted: DataFrame, threshold: float, queries: int = 256) -> tuple[int, int]:
-    """(links found, links there) of up to ``queries`` nodes chosen by hash, by brute force over all nodes."""
-    chosen = nodes.orderBy(F.xxhash64("node", F.lit(1))).limit(queries).select("node", "label", "v").collect()
-    if not chosen:
-        return 0, 0
-    q = [(r["label"], len(r["v"]), unit(np.array([r["v"]]))[0], r["node"]) for r in chosen]
+def _compare(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        """What ``_search`` returns, from all pairs of one group."""
+        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+        own, x, y = (table.column(c).to_numpy() for c in ("own", "x", "y"))
+        n = len(node)
+        v = unit(_matrix(table.column("v"), n))
+        total, heads = np.zeros(n, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for at in range(0, n, 512):
+            q, c = np.nonzero(v[at : at + 512] @ v.T >= threshold)
+            q += at
+            keep = (q != c) if x[0] == y[0] else own[q] != own[c]
+            q, c = q[keep], c[keep]
+            total += np.bincount(q, weights=copies[c], minlength=n).astype(np.int64)
+            heads = components.local_stars(np.r_[heads[0], node[q]], np.r_[heads[1], node[c]])
+        linked = np.flatnonzero(total)
+        b = pa.array(np.r_[np.zeros(len(linked), np.int64), heads[1]], mask=np.r_[np.ones(len(linked), bool), np.zeros(len(heads[1]), bool)])
+        return pa.table({"a": pa.array(np.r_[node[linked], heads[0]]), "b": b, "n": pa.array(np.r_[total[linked], np.zeros(len(heads[0]), np.int64)])})
+
+    return run
+
+
+def exact_links(nodes: DataFrame, threshold: float, max_shard: int) -> DataFrame:
+    """What ``links`` returns, from all pairs within a label, in pairs of bounded chunks."""
+    dealt = _dealt(nodes.select("node", "copies", "label", "v", F.array(F.lit(0)).alias("shards")), max_shard)
+    return common.spool(dealt.groupBy(*_GROUP).applyInArrow(_compare(threshold), "a long, b long, n long"), "vectors-links")
+
+
+def audit(nodes: DataFrame, counted: DataFrame, threshold: float, every: int = 20, block: int = 2048) -> tuple[int, int]:
+    """(links found, links there) of the nodes whose id ``every`` divides, by brute force over all nodes, a block at a time."""
+    chosen = nodes.where(F.pmod("node", F.lit(every)) == 0)
+    blocks = -(-chosen.count() // block)
+    found = there = 0
+    for k in range(blocks):
+        rows = chosen.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)) == k).select("node", "label", "v").collect()
+        hit, all_ = _audit_block(nodes, counted, threshold, rows) if rows else (0, 0)
+        found, there = found + hit, there + all_
+    return found, there
+
+
+def _audit_block(nodes: DataFrame, counted: DataFrame, threshold: float, chosen: list) -> tuple[int, int]:
+    q: dict[tuple[str, int], list] = {}
+    for r in chosen:
+        q.setdefault((r["label"], len(r["v"])), []).append((r["node"], r["v"]))
+    q = {k: (np.array([i for i, _ in rows]), unit(np.array([v for _, v in rows]))) for k, rows in q.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,10 +327,11 @@ def audit(nodes: DataFrame, counted: DataFrame, threshold: float, queries: int =
             for width in np.unique(size):
                 at = np.flatnonzero(size == width)
                 v = unit(_matrix(batch.column("v").take(pa.array(at)), len(at)))
-                for lab, w, u, i in q:
+                for (lab, w), (ids, u) in q.items():
                     if w == width:
-                        hit = (label[at] == lab) & (node[at] != i) & (v @ u >= threshold)
-                        out.append((i, int(copies[at][hit].sum())))
+                        own = label[at] == lab
+                        hit = (v[own] @ u.T >= threshold) & (node[at][own][:, None] != ids)
+                        out += zip(ids.tolist(), (copies[at][own] @ hit).tolist())
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["node", "there"])
 
     there = nodes.select("node", "copies", "label", "v").mapInArrow(run, "node long, there long").groupBy("node").agg(F.sum("there").alias("there"))
@@ -320,7 +360,13 @@ def near_duplicates(
             counted = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
             hit, there = audit(nodes, counted, threshold)
             audited = {"found": hit, "there": there, "recall": hit / there if there else 1.0, "overlap": overlap}
-            if audited["recall"] >= least_recall or overlap >= len(cents):
+            if there and audited["recall"] >= least_recall:
+                break
+            if not there or overlap >= len(cents):  # nothing to judge by, or nothing left to widen: compare all pairs
+                found = exact_links(nodes, threshold, max_shard)
+                counted = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+                hit, there = audit(nodes, counted, threshold)
+                audited = {"found": hit, "there": there, "recall": hit / there if there else 1.0, "overlap": overlap}
                 break
             overlap += 2
         components_ = components.connected(found.where("b is not null").select("a", "b"))
