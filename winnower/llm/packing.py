@@ -11,7 +11,6 @@ an empty table packs into no sequences.
 
 from __future__ import annotations
 
-import time
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -177,14 +176,15 @@ class Search:
     trail: list[int] = field(default_factory=list)
 
 
-def bin_completion(counts: dict[int, int], capacity: int, node_limit: int = 6000, width: int = 3, seconds: float = 20.0) -> Search:
+def bin_completion(counts: dict[int, int], capacity: int, node_limit: int = 6000, width: int = 3) -> Search:
     """Pack a histogram of lengths.
 
     At a node the largest length left is put into a sequence and the undominated fillings of the rest are its
     children, least waste first; a child is used for as many sequences as the counts allow at once.  A branch whose
     waste exceeds what the incumbent leaves is cut, and best fit completes every node into a possible new incumbent.
-    The search stops when an incumbent meets the lower bound, or at ``node_limit`` nodes or ``seconds``; either way
-    the best packing found is returned, with the bound beside it.
+    The search stops when an incumbent meets the lower bound, or at ``node_limit`` nodes; either way
+    the best packing found is returned, with the bound beside it.  Only a met bound proves it: a node keeps ``width``
+    fillings and uses each as often as it can, so a search that runs out has not seen everything.
     """
     counts = {int(s): int(n) for s, n in counts.items() if n > 0}
     if any(s > capacity or s < 1 for s in counts):
@@ -196,7 +196,6 @@ def bin_completion(counts: dict[int, int], capacity: int, node_limit: int = 6000
     patterns = best_fit(counts, capacity)
     used = sum(n for _, n in patterns)
     state = Search(patterns, used, bound, used, proven=used == bound)
-    until = time.monotonic() + seconds
 
     def allowed() -> int:
         return (state.sequences - 1) * capacity - total
@@ -204,7 +203,7 @@ def bin_completion(counts: dict[int, int], capacity: int, node_limit: int = 6000
     path: list[tuple[tuple[int, ...], int]] = []
     stack: list[tuple[dict[int, int], int, int, int, tuple[tuple[int, ...], int] | None]] = [(counts, 0, 0, 0, None)]
     every = max(1, len(counts) // 40)
-    while stack and state.sequences > bound and state.nodes < node_limit and time.monotonic() < until:
+    while stack and state.sequences > bound and state.nodes < node_limit:
         left, wasted, opened, depth, step = stack.pop()
         del path[max(0, depth - 1) :]
         if step:
@@ -245,7 +244,7 @@ def bin_completion(counts: dict[int, int], capacity: int, node_limit: int = 6000
                 if not after[s]:
                     del after[s]
             stack.append((after, wasted + waste * times, opened + times, depth + 1, ((large, *chosen), times)))
-    state.proven = state.sequences == bound or (not stack and state.nodes < node_limit)
+    state.proven = state.sequences == bound
     return state
 
 
