@@ -26,13 +26,13 @@ def distance(a, b):
     return row[-1]
 
 
-def brute_lines(docs, sims):
-    """Kept text of each document, from the SimHashes that Spark made."""
+def brute_lines(docs):
+    """Kept text of each document, from edit distances alone."""
     lines, first = defaultdict(list), {}
     for d in docs:
         for i, line in enumerate((d[1] or "").split("\n")):
             n = normal(line)
-            if len(n.split()) >= line_dedup.MIN_WORDS:
+            if len(n.split()) >= line_dedup.MIN_WORDS or len(n) >= line_dedup.MIN_CHARS:
                 lines[n].append((d[0], i))
     parent = {n: n for n in lines}
 
@@ -41,10 +41,11 @@ def brute_lines(docs, sims):
             n = parent[n]
         return n
 
-    fuzzy = [n for n in lines if len(n.split()) >= line_dedup.MIN_FUZZY_WORDS]
+    fuzzy = [n for n in lines if len(n.split()) >= 5]
     for i, a in enumerate(fuzzy):
         for b in fuzzy[i + 1 :]:
-            if ((sims[a] ^ sims[b]) & ((1 << 64) - 1)).bit_count() <= line_dedup.RADIUS and distance(a, b) <= int(line_dedup.EDITS * max(len(a), len(b))):
+            most = int(line_dedup.EDITS * max(len(a), len(b)))
+            if abs(len(a) - len(b)) <= most and sum((Counter(a) - Counter(b)).values()) <= most and distance(a, b) <= most:
                 parent[find(a)] = find(b)
     for n, places in lines.items():
         first[find(n)] = min([*places, first.get(find(n), places[0])])
@@ -52,12 +53,6 @@ def brute_lines(docs, sims):
     return {d[0]: "\n".join(x for i, x in enumerate((d[1] or "").split("\n")) if (d[0], i) not in gone) for d in docs}, len(gone)
 
 
-def simhashes(rows):
-    from pyspark.sql import functions as F
-
-    return line_dedup.simhashes(line_dedup.counted_lines(rows.withColumns({c: F.lit(1) for c in ("doc", "own", "pos")})))
-
-
 def documents():
     rng = np.random.default_rng(8)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(200)]
@@ -79,9 +74,7 @@ def test_lines_against_brute_force(spark):
 
     docs = documents()
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"line": F.lit(1), "key": F.lit(2), "doc": F.lit(3)})
-    norms = spark.createDataFrame([(n, n) for d in docs for x in (d[1] or "").split("\n") if (n := normal(x))], "line string, norm string").distinct()
-    sims = {r["line"]: r["sim"] for r in simhashes(norms).collect()}
-    want, gone = brute_lines(docs, sims)
+    want, gone = brute_lines(docs)
     got = line_dedup.dedup_lines(df)
     assert {"line", "key", "doc", "n_lines", "n_removed"} <= set(got.columns)
     rows = got.collect()
@@ -89,14 +82,74 @@ def test_lines_against_brute_force(spark):
     assert {r["doc_id"]: r["text"] or "" for r in rows} == want
 
 
-def test_simhash_by_hand(spark):
+def edited(size, rng):
+    """A line of ``size`` words and the same after some words were replaced, dropped, added or misspelt."""
+
+    def word():
+        return "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 10)))
+
+    a = [word() for _ in range(size)]
+    b = list(a)
+    for _ in range(rng.integers(1, max(2, size // 14) + 1)):
+        at, kind = int(rng.integers(len(b))), rng.integers(4)
+        if kind == 0:
+            b[at] = word()
+        elif kind == 1:
+            del b[at]
+        elif kind == 2:
+            b.insert(at, word())
+        else:
+            b[at] = b[at][:-1] + "z"
+    return " ".join(a), " ".join(b)
+
+
+def test_recall_of_edited_lines(spark):
+    """Of the pairs within a tenth of their characters, by edit distance alone: nine in ten at every length, 95 in 100 of all."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(31)
+    made = [(size, *edited(size, rng)) for size in (6, 10, 15, 25, 32, 50, 64, 90, 140, 260) for _ in range(120)]
+    pairs = spark.createDataFrame([(k, *m) for k, m in enumerate(made)], "pair long, size int, a string, b string")
+    near = pairs.where("a <> b and levenshtein(a, b) <= floor(greatest(length(a), length(b)) * 0.1)").cache()
+    tried = {r["size"]: r["count"] for r in near.groupBy("size").count().collect()}
+    rows = near.select((2 * F.col("pair")).alias("doc_id"), "size", F.col("a").alias("text")).unionAll(near.select(2 * F.col("pair") + 1, "size", "b"))
+    got = {r["size"]: r["count"] for r in line_dedup.dedup_lines(rows).where("n_removed > 0").groupBy("size").count().collect()}
+    share = {size: round(got.get(size, 0) / n, 3) for size, n in tried.items()}
+    assert min(share.values()) >= 0.9 and sum(got.values()) >= 0.95 * sum(tried.values()), (share, tried)
+
+
+def test_unlike_lines_that_share_blocks_stay_few_pairs(spark):
+    """A family of lines with half their words in common: pairs grow with the lines, not with their square, and all stay."""
+    rng = np.random.default_rng(4)
+    shared = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(30)]
+    made = []
+    for n in (50, 200):
+        docs = spark.createDataFrame([(k, " ".join(shared + ["".join(rng.choice(list("ijklmnop"), 6)) for _ in range(20)])) for k in range(n)], "doc long, text string")
+        lists = line_dedup.meeting_lists(line_dedup.voted_lines(line_dedup.lines(docs)), spark.createDataFrame([], "line long, first struct<doc:long,own:long,pos:int>"))
+        made.append(line_dedup.star_pairs(lists).count())
+        assert line_dedup.dedup_lines(docs.withColumnRenamed("doc", "doc_id")).where("n_removed > 0").count() == 0
+    assert made[1] <= 5 * made[0] + 50
+
+
+def test_votes_by_hand(spark):
     from pyspark.sql import functions as F
 
-    text = "one two three two five"
-    hashes = [r["h"] for r in spark.createDataFrame([(w,) for w in text.split()], "w string").select(F.xxhash64("w").alias("h")).collect()]
-    want = sum((sum((h >> b) & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64))
-    got = simhashes(spark.createDataFrame([("x", text)], "line string, norm string")).first()["sim"]
-    assert got & ((1 << 64) - 1) == want
+    text = " ".join(f"word{k % 40}" for k in range(70))
+    rows = spark.createDataFrame([(1, 2, 0, text)], "doc long, own long, pos int, norm string")
+    hashes = [r["h"] & ((1 << 64) - 1) for r in spark.createDataFrame([(w,) for w in text.split()], "w string").select(F.xxhash64("w").alias("h")).collect()]
+    got = {r["part"]: r for r in line_dedup.voted_lines(rows).collect()}
+    for part, own in ((0, hashes[:64]), (1, hashes[64:])):
+        assert got[part]["n"] == len(own) and got[part]["long"]
+        for k in range(8):
+            assert got[part][f"b{k}"] == sum((h >> 3) & line_dedup.LANES for h in own if h % 8 == k)
+
+
+def test_lines_of_null_and_repeated_ids(spark):
+    line = "the quick brown fox jumps over the lazy dog again"
+    rows = [(None, line), (None, line + "\nmore"), (None, None), (3, line), (3, line), (3, line + "\nother")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6
+    assert sum(r["n_removed"] for r in got) == 4  # one occurrence stays: that of a row without an id
 
 
 def test_line_edge_cases(awkward, nothing):

@@ -23,10 +23,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
 
 
+#: Folders of the tables that this process has stored and not deleted yet.
+_STORED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` or the context's checkpoint folder names.
+
+    Without one, a local session (one machine) sets a temporary folder; on a cluster it is an error, as executors would
+    write where nobody else reads.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="winnower-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -40,16 +50,38 @@ def spool(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winnower-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unspool(df: DataFrame) -> None:
-    """Delete a spooled table that no later plan reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        if path.getName().startswith("winnower-"):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def unspool(*tables: DataFrame) -> None:
+    """Delete spooled tables that no later plan reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            _delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getName().startswith("winnower-"):
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _STORED[:] = [p for p in _STORED if p.rsplit("/", 1)[1] != where.getName()]
+
+
+def stored() -> list[str]:
+    """The tables not deleted so far."""
+    return list(_STORED)
+
+
+def tidy(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the given tables; for a caller who knows that everything made of them has been written."""
+    for path in paths:
+        _delete(spark, path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished plans now; it finds them when the driver's garbage is collected."""
+    spark._jvm.System.gc()
 
 
 def parts_for(rows: int, per_task: int) -> int:
@@ -58,8 +90,8 @@ def parts_for(rows: int, per_task: int) -> int:
 
 
 def held_out(doc_id: Column | str) -> Column:
-    """True for the fifth of documents that no model may learn from."""
-    return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0
+    """True for the fifth of documents that no model may learn from; false for a null id, which no model learns from either."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def held_out_id(doc_id: int) -> bool:
@@ -89,6 +121,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _PRIME)
+_factors = np.zeros(0, np.uint64)
+
+
+def place_factors(n: int) -> np.ndarray:
+    """An odd factor for each of ``n`` places, without the structure of powers: patterns like Thue and Morse's don't cancel out."""
+    global _factors
+    if len(_factors) < n:
+        _factors = mix(np.arange(1, max(n, 2 * len(_factors), 256) + 1, dtype=np.uint64) * _PRIME) | _U(1)
+    return _factors[:n]
+
+
 _BYTE[_SPACE] = 0
 
 
@@ -142,9 +185,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     body = data[first:last]
     spans = np.diff(np.append(starts, last))
     at = np.arange(last - first, dtype=np.int64) - np.repeat(starts - first, spans)
-    power = np.cumprod(np.full(int(spans.max()) + 1, _PRIME, np.uint64))
     value = _BYTE[_LOWER[body] if lower else body]
-    value *= power[at]
+    value *= place_factors(int(spans.max()))[at]
     h = np.add.reduceat(value, starts - first)
     return mix(h + (ends - starts).astype(np.uint64))
 
@@ -158,7 +200,7 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         spans = b - a
         at = np.arange(int(spans.sum()), dtype=np.int64) - np.repeat(np.cumsum(spans) - spans, spans)
         value = _EVERY[data[np.repeat(a, spans) + at]]
-        value *= np.cumprod(np.full(int(spans.max()) + 1, _PRIME, np.uint64))[at]
+        value *= place_factors(int(spans.max()))[at]
         out[full] = np.add.reduceat(value, np.cumsum(spans) - spans)
     return mix(out + (ends - starts).astype(np.uint64))
 
