@@ -16,8 +16,9 @@ Steps:
     pairs of bounded chunks.
 
 Edge cases: null, empty or blank text has an empty set, which links with nothing; fewer words than a shingle make one
-token of the whole; repeated rows and copies form one component; extra columns are ignored.  Node names are 64-bit
-fingerprints of the whole set.
+token of the whole; repeated rows and copies form one component; extra columns are ignored; a null id links like any other
+and is named only where no other id of its component is left.  Node names are 64-bit fingerprints of the whole set; a
+second fingerprint tells whether two sets share a name, and then all are named anew.
 """
 
 from __future__ import annotations
@@ -128,8 +129,16 @@ def choose_ell(frequency: np.ndarray, n: int) -> int:
     return int(ells[int(np.argmin(cost))])
 
 
-def prefixes(docs: DataFrame, sketch, bits: int) -> DataFrame:
-    """``doc_id, n, node, meta_ell, prefix``: set size, fingerprint of the set, l and the prefix's tokens in order.
+def fingerprint(s: np.ndarray, seed: int) -> int:
+    """Of a set of token hashes; 0 is the empty set's."""
+    if not len(s):
+        return 0
+    turn = np.uint64((2 * seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) if seed else np.uint64(0)
+    return int(common.mix(np.add.reduce(common.mix(s ^ turn), keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
+
+
+def prefixes(docs: DataFrame, sketch, bits: int, seed: int = 0) -> DataFrame:
+    """``doc_id, n, node, check, ell, prefix``: set size, fingerprints of the set, l and the prefix's tokens in order.
 
     Only the first row with a given set in a task carries its prefix, so a copy group posts no more than once a task.
     """
@@ -138,13 +147,14 @@ def prefixes(docs: DataFrame, sketch, bits: int) -> DataFrame:
         (order, noise), seen = sketch.value, set()
         guess = 2 ** (np.arange(256) / 8) - 1 + noise  # a slot at the mean may still hide that many
         for batch in batches:
-            sizes, nodes, ells, tokens, ends = [], [], [], [], [0]
+            sizes, nodes, checks, ells, tokens, ends = [], [], [], [], [], [0]
             for _, sets in row_sets(batch.column(1)):
                 for s in sets:
                     n = len(s)
-                    node = int(common.mix(np.add.reduce(common.mix(s), keepdims=True) + np.uint64(n)).view(np.int64)[0]) if n else 0
+                    node = fingerprint(s, seed)
                     sizes.append(n)
                     nodes.append(node)
+                    checks.append(fingerprint(s, seed + 1))
                     if n and node not in seen:
                         seen.add(node)
                         rank = order[(s >> np.uint64(64 - bits)).astype(np.int64)]
@@ -162,11 +172,11 @@ def prefixes(docs: DataFrame, sketch, bits: int) -> DataFrame:
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(ells, pa.int32()), prefix],
-                names=["doc_id", "n", "node", "ell", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(ells, pa.int32()), prefix],
+                names=["doc_id", "n", "node", "check", "ell", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, ell int, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, ell int, prefix array<long>")
 
 
 def _meta(n: Column, pos: Column, ell: Column) -> Column:
@@ -182,16 +192,19 @@ def shared_postings(table: DataFrame) -> DataFrame:
     """``token, node, meta, leader, leader_meta`` of the tokens in at least two nodes' prefixes.
 
     A pair shares the smaller of its two l's.  So a node links with nothing if fewer of its prefix tokens are in anyone
-    else's than the least l in any of its lists; such nodes go, and lists that only they kept above one node with them.  A token that nobody else posts says nothing more: it may still be in
-    another's set, beyond the end of that prefix.
+    else's than the least l in any of its lists; such nodes go, and lists that only they kept above one node with them.
+    A token that nobody else posts says nothing more: it may still be in another's set, beyond the end of that prefix.
     """
     posted = table.where("ell > 0").select("node", "n", "ell", F.posexplode("prefix").alias("pos", "token"))
     posted = posted.select("token", _meta(F.col("n"), F.col("pos"), F.col("ell")).alias("meta"), "node")
     found = common.spool(_runs(posted.repartition("token"), 255), "postings")  # led by the least l
     own = found.groupBy("node").agg(F.count_distinct("token").alias("c"), F.min(_ell("leader_meta")).alias("least"))
     own = own.where("c >= least").select("node")
+    common.free_shuffles(table.sparkSession)
     rest = found.select("token", "node", "meta").join(own, "node", "left_semi").select("token", "meta", "node")
-    return _runs(rest.repartition(common.parts_for(found.count(), 100_000), "token"))
+    shared = common.spool(_runs(rest.repartition(common.parts_for(found.count(), 100_000), "token")), "postings")
+    common.unspool(found)
+    return shared
 
 
 def _runs(posted: DataFrame, by: int = (1 << 34) - 1) -> DataFrame:
@@ -320,34 +333,41 @@ def cross_pairs(table: DataFrame, shared: DataFrame, comps: DataFrame, chunk: in
             yield from emit(held)
 
     found = common.spool(rows.mapInArrow(run, "a long, b long, low long").distinct(), "cross")
+    common.free_shuffles(table.sparkSession)
     nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     heads = table.where("ell > 0").select("node", "n", "prefix").join(nodes, "node", "left_semi").dropDuplicates(["node"])
     both = found.join(heads.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
     both = both.join(heads.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
     spare = F.col("low") - F.ceil(NUM * (F.col("na") + F.col("nb")) / (NUM + DEN))
     ends = [F.slice(f"p{k}", F.lit(1), (F.col(f"n{k}") + spare).cast("int")) for k in "ab"]
-    return both.where(F.size(F.array_intersect(*ends)) >= F.col("low")).select("a", "b")
+    checked = common.spool(both.where(F.size(F.array_intersect(*ends)) >= F.col("low")).select("a", "b"), "cross-checked")
+    common.unspool(found)
+    common.free_shuffles(table.sparkSession)
+    return checked
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame, rep: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
-    """``node, shingles`` of the given nodes, from the text of one document each."""
-    ids = rep.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id"))
+def node_sets(docs: DataFrame, pairs: DataFrame, rep: DataFrame, seed: int, broadcast_rows: int = 500_000) -> DataFrame:
+    """``node, shingles`` of the nodes in the given pairs, stored, from the text of one document each."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = rep.join(nodes, "node", "left_semi").select(F.col("rep").alias("_rep"))
     ids = common.spool(ids, "wanted")
     few = ids.count() <= broadcast_rows
-    wanted = docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
+    wanted = docs.join(F.broadcast(ids) if few else ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in row_sets(batch.column(1)):
                 sets = [s for s in sets if len(s)]
-                nodes = [int(common.mix(np.add.reduce(common.mix(s), keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) for s in sets]
+                nodes = [fingerprint(s, seed) for s in sets]
                 ends = np.cumsum([0, *map(len, sets)])
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["node", "shingles"]
                 )
 
-    return wanted.mapInArrow(run, "node long, shingles array<long>")
+    found = common.spool(wanted.mapInArrow(run, "node long, shingles array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    common.unspool(ids)
+    return found
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -361,27 +381,44 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: its set's size and the least doc_id reachable by links."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs.select("text"), sketch_bits))
-    table = common.spool(prefixes(docs, sketch, sketch_bits), "prefixes")
-    shared = common.spool(shared_postings(table), "postings")
-    classes = common.spool(table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
+    sketch = spark.sparkContext.broadcast(shingle_sketch(docs.select("text"), sketch_bits))
+    seed = 0
+    while True:
+        table = common.spool(prefixes(docs, sketch, sketch_bits, seed), "prefixes")
+        classes = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), (F.min("check") != F.max("check")).alias("clash"))
+        classes = common.spool(classes, "classes")
+        if classes.where("clash").isEmpty():
+            break
+        common.unspool(table, classes)  # two sets of one name
+        seed += 2
+    common.free_shuffles(spark)
+    shared = shared_postings(table)
+    common.free_shuffles(spark)
 
     pairs = common.spool(star_pairs(shared), "stars")
-    sets = common.spool(node_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes), "sets")
+    sets = node_sets(docs, pairs, classes, seed)
     links = common.spool(verified(pairs, sets), "links")
     comps = components.connected(links)
-    common.unspool(sets)
-
-    pairs = common.spool(cross_pairs(table, shared, comps), "cross-checked")
-    sets = common.spool(node_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes), "sets")
-    comps = components.connected(links.unionAll(verified(pairs, sets)))
-    common.unspool(sets)
-
-    classes = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(least, "component").select("node", "component_id")
-    out = table.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(classes, "node", "left")
+    common.unspool(sets, pairs)
+    common.free_shuffles(spark)
+
+    pairs = cross_pairs(table, shared, comps)
+    common.unspool(shared)
+    sets = node_sets(docs, pairs, classes, seed)
+    more = common.spool(verified(pairs, sets), "links")
+    common.unspool(sets, pairs, comps)
+    comps = components.connected(links.unionAll(more))
+    common.unspool(links, more)
+
+    members = common.spool(table.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "members")
+    common.unspool(table)
+    common.free_shuffles(spark)
+    named = classes.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "component").select("node", "component_id")
+    out = members.join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
