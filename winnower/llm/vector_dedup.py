@@ -3,7 +3,7 @@
 1.  Equal vectors of a label become one node that counts its copies.
 2.  Centroids are fitted on a bounded sample; every node joins the shards of its nearest ``overlap`` centroids within
     its label, so shards overlap.
-3.  Each shard builds a graph: nearest candidates, robust-pruned to ``degree`` edges.
+3.  Each shard builds a graph: nearest candidates from small overlapping cells, robust-pruned to ``degree`` edges.
 4.  The adjacency lists of a node's shards are united.
 5.  In each shard every node searches the united graph: greedily from the shard's medoids, then expanding whatever lies
     within the range (and a margin around it) until nothing new is in range.  Every hit is verified in double precision.
@@ -14,8 +14,9 @@ Shards return each node's number of links and a spanning forest, never all pairs
 shards is counted in the first.  A shard over ``max_shard`` nodes is dealt as pairs of chunks, which together hold every pair.
 
 Edge cases: vectors that are null, empty or zero, that hold null or non-finite components, and those with a null label
-link with nothing; vectors of different lengths never link; repeated ids with equal vectors are one node with copies;
-extra columns are ignored; an empty table gives an empty result.
+link with nothing; vectors of different lengths never link; repeated ids with equal vectors are one node with copies, with
+different vectors different nodes; a row without an id links like any other, names no component that has an id, and is
+kept where none has; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,6 +46,35 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def candidates(v: np.ndarray, pool: int, overlap: int = 3, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """(n, pool) nearest others of each node, -1 where empty, and their cosines, looked for among the nodes that share one of its
+    ``overlap`` nearest cells; there are about as many cells as nodes in a cell, so far fewer than all pairs are compared."""
+    n = len(v)
+    cells = [np.arange(n)]
+    if n > 512:
+        cents = centroids(v, int(np.sqrt(n)), rounds=2, seed=seed)
+        near = np.argpartition(-(v @ cents.T), overlap - 1, axis=1)[:, :overlap] if len(cents) > overlap else np.tile(np.arange(len(cents)), (n, 1))
+        order = np.argsort(near.ravel(), kind="stable")
+        cells = np.split(order // near.shape[1], np.cumsum(np.bincount(near.ravel(), minlength=len(cents)))[:-1])
+    found = np.full((n, pool), -1, np.int64)
+    cosine = np.full((n, pool), -np.inf)
+    for cell in cells:
+        for lo in range(0, len(cell), 256):
+            own = cell[lo : lo + 256]
+            s = v[own] @ v[cell].T
+            s[np.arange(len(own)), lo + np.arange(len(own))] = -np.inf
+            take = min(pool, len(cell))
+            top = np.argpartition(-s, take - 1, axis=1)[:, :take]
+            ids, s = np.concatenate([found[own], cell[top]], 1), np.concatenate([cosine[own], np.take_along_axis(s, top, 1)], 1)
+            order = np.lexsort((-s, ids))  # a neighbour met in two cells counts once
+            ids, s = np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
+            s[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+            order = np.argsort(-s, axis=1, kind="stable")[:, :pool]
+            found[own], cosine[own] = np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
+    found[cosine == -np.inf] = -1
+    return found, cosine
+
+
 def robust_prune(v: np.ndarray, degree: int = 24, pool: int = 48, alpha: float = 1.2) -> np.ndarray:
     """Adjacency (n, degree), -1 where empty: of each node's ``pool`` nearest, those that no chosen nearer one covers.
 
@@ -55,23 +85,18 @@ def robust_prune(v: np.ndarray, degree: int = 24, pool: int = 48, alpha: float =
     out = np.full((n, degree), -1, np.int32)
     if pool <= 0:
         return out
+    found, cosine = candidates(v, pool)
     for lo in range(0, n, 256):
-        own = np.arange(lo, min(lo + 256, n))
-        sim = v[own] @ v.T
-        sim[np.arange(len(own)), own] = -np.inf
-        near = np.argpartition(-sim, pool - 1, axis=1)[:, :pool] if pool < n - 1 else np.argsort(-sim, axis=1)[:, :pool]
-        s = np.take_along_axis(sim, near, 1)
-        order = np.argsort(-s, axis=1)
-        near, s = np.take_along_axis(near, order, 1), np.take_along_axis(s, order, 1)
+        near, s = found[lo : lo + 256], cosine[lo : lo + 256]
         among = np.einsum("bpk,bqk->bpq", v[near], v[near])
-        alive = np.ones(near.shape, bool)
-        rows = np.arange(len(own))
+        alive = near >= 0
+        rows = np.arange(len(near))
         for d in range(degree):
             live = alive.any(1)
             if not live.any():
                 break
             pick = alive.argmax(1)
-            out[own[live], d] = near[rows, pick][live]
+            out[lo + rows[live], d] = near[rows, pick][live]
             covered = alpha * (2 - 2 * among[rows, pick]) <= 2 - 2 * s
             alive &= ~covered
             alive[rows, pick] = False
@@ -88,66 +113,81 @@ def medoids(v: np.ndarray, count: int = 16) -> np.ndarray:
     return np.array(chosen)
 
 
-def range_search(v: np.ndarray, adjacency: np.ndarray, threshold: float, beam: int = 16, steps: int = 24, margin: float = 0.12) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _neighbours(adjacency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of both directions as (begin of each node's, nodes)."""
+    n = len(adjacency)
+    src, at = np.nonzero(adjacency >= 0)
+    dst = adjacency[src, at].astype(np.int64)
+    edges = np.unique(np.concatenate([src * n + dst, dst * n + src]))
+    return np.searchsorted(edges, np.arange(n + 1) * n), edges % n
+
+
+def range_search(v: np.ndarray, adjacency: np.ndarray, threshold: float, beam: int = 16, margin: float = 0.12) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Yield (query, found) index pairs with cosine at least ``threshold``, query != found, for all nodes as queries.
 
-    A beam is walked greedily from the medoids; then the neighbours of all nodes found within ``threshold - margin`` are
-    looked at, again and again, until no new node falls within it.
+    A beam is walked greedily from the medoids until all it holds has been opened; then the neighbours of all nodes found within
+    ``threshold - margin`` are looked at, again and again, until no new node falls within it.  Only nodes reached over edges
+    are compared.
     """
     n = len(v)
     entry = medoids(v)
-    both = np.zeros((n, n), np.float32)
-    src, col = np.nonzero(adjacency >= 0)
-    both[src, adjacency[src, col]] = 1
-    both = np.maximum(both, both.T)
+    begin, to = _neighbours(adjacency)
+
+    def spread(r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Query and neighbour of each (query, node)."""
+        counts = begin[c + 1] - begin[c]
+        at = np.repeat(begin[c] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        return np.repeat(r, counts), to[at]
+
     for lo in range(0, n, 256):
         q = np.arange(lo, min(lo + 256, n))
-        rows = np.arange(len(q))
-        seen = np.zeros((len(q), n), bool)
-        sims = np.full((len(q), n), -2.0, np.float64)
-
-        def look(new: np.ndarray) -> None:
-            r, c = np.nonzero(new)
-            for a in range(0, len(r), 1 << 17):
-                rr, cc = r[a : a + (1 << 17)], c[a : a + (1 << 17)]
-                sims[rr, cc] = np.einsum("ij,ij->i", v[q[rr]], v[cc])
-            seen[new] = True
-
-        new = np.zeros_like(seen)
-        new[:, entry] = True
-        look(new)
-        opened = np.zeros_like(seen)
-        for _ in range(steps):
-            ranked = np.where(opened, -3.0, sims)
-            top = np.argpartition(-ranked, min(3, n - 1), axis=1)[:, :4]
-            good = np.take_along_axis(ranked, top, 1)
-            if n > beam:
-                floor = -np.partition(-sims, beam - 1, axis=1)[:, beam - 1 : beam]
-                good = np.where(good >= floor, good, -3.0)
-            r, k = np.nonzero(good > -2)
-            if not len(r):
-                break
-            opened[r, top[r, k]] = True
-            near = adjacency[top[r, k]]
-            rr, cc = np.repeat(r, near.shape[1]), near.ravel()
-            ok = cc >= 0
-            new = np.zeros_like(seen)
-            new[rr[ok], cc[ok]] = True
-            look(new & ~seen)
-        new = np.zeros_like(seen)  # a query is a node itself: its own edges too
-        rr, cc = np.nonzero(adjacency[q] >= 0)
-        new[rr, adjacency[q][rr, cc]] = True
-        look(new & ~seen)
-        done = np.zeros_like(seen)
-        while True:
-            front = (sims >= threshold - margin) & ~done
-            if not front.any():
-                break
-            done |= front
-            look((front.astype(np.float32) @ both > 0) & ~seen)
-        sims[rows, q] = -2
-        r, c = np.nonzero(sims >= threshold)
-        yield q[r], c
+        m = len(q)
+        seen = np.zeros((m, n), bool)
+        seen[np.arange(m), q] = True
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def look(r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The pairs not seen before, with their cosines."""
+            fresh = ~seen[r, c]
+            code = np.unique(r[fresh] * n + c[fresh])
+            r, c = code // n, code % n
+            seen[r, c] = True
+            s = np.empty(len(r))
+            for a in range(0, len(r), 1 << 16):
+                s[a : a + (1 << 16)] = np.einsum("ij,ij->i", v[q[r[a : a + (1 << 16)]]], v[c[a : a + (1 << 16)]])
+            wide = s >= threshold - margin
+            kept.append((r[wide], c[wide], s[wide]))
+            return r, c, s
+
+        held, cosine, opened = np.full((m, beam), -1, np.int64), np.full((m, beam), -2.0), np.ones((m, beam), bool)
+
+        def push(r: np.ndarray, c: np.ndarray, s: np.ndarray) -> None:
+            """Merge what was looked at into the beams."""
+            nonlocal held, cosine, opened
+            order = np.lexsort((-s, r))
+            r, c, s = r[order], c[order], s[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            r, c, s, place = (x[place < beam] for x in (r, c, s, place))
+            ids, sims, done = np.full((m, beam), -1, np.int64), np.full((m, beam), -2.0), np.ones((m, beam), bool)
+            ids[r, place], sims[r, place], done[r, place] = c, s, False
+            ids, sims, done = np.concatenate([held, ids], 1), np.concatenate([cosine, sims], 1), np.concatenate([opened, done], 1)
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
+            held, cosine, opened = (np.take_along_axis(x, top, 1) for x in (ids, sims, done))
+
+        push(*look(*spread(np.arange(m), q)))  # a query is a node itself: its own edges too
+        push(*look(np.repeat(np.arange(m), len(entry)), np.tile(entry, m)))
+        while not opened.all():
+            r = np.flatnonzero(~opened.all(1))
+            first = opened[r].argmin(1)
+            opened[r, first] = True
+            push(*look(*spread(r, held[r, first])))
+        front = [np.concatenate(x) for x in zip(*kept)][:2]
+        while len(front[0]):
+            front = look(*spread(*front))
+            wide = front[2] >= threshold - margin
+            front = [front[0][wide], front[1][wide]]
+        r, c, s = (np.concatenate(x) for x in zip(*kept))
+        yield q[r[s >= threshold]], c[s >= threshold]
 
 
 def centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -163,17 +203,21 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.
     return c
 
 
-def nodes_of(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """(all rows with their node or null, nodes with ``copies`` and the unit vector): equal vectors of a label are one node."""
+def nodes_of(vectors: DataFrame, vec_id: str, embedding: str, label: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(all rows with their node or null, nodes with ``least`` id, ``copies`` and the unit vector): equal vectors of a label are one node.
+
+    Nodes are named by a hash; ``check`` is another, by which two vectors of one name are noticed.
+    """
     e = F.col(embedding).cast("array<double>")
     fine = F.col(label).isNotNull() & e.isNotNull() & (F.size(e) > 0)
     fine &= ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.when(fine, e).alias("v"))
     # the same direction of -0.0 and 0.0 is the same vector
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")))
-    nodes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
-    return rows.select("vec_id", "key"), nodes
+    names = {k: F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(s), "label", "v")) for k, s in (("node", seed), ("check", seed + 1))}
+    rows = rows.withColumns(names)
+    nodes = rows.where("node is not null").groupBy("node", "check").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+    return rows.select("vec_id", "node"), nodes
 
 
 def _assign(nodes: DataFrame, cents: np.ndarray, overlap: int) -> DataFrame:
@@ -302,7 +346,7 @@ def exact_links(nodes: DataFrame, threshold: float, max_shard: int) -> DataFrame
 
 def audit(nodes: DataFrame, counted: DataFrame, threshold: float, every: int = 20, block: int = 2048) -> tuple[int, int]:
     """(links found, links there) of the nodes whose id ``every`` divides, by brute force over all nodes, a block at a time."""
-    chosen = nodes.where(F.pmod("node", F.lit(every)) == 0)
+    chosen = nodes.where(F.pmod("least", F.lit(every)) == 0)
     blocks = -(-chosen.count() // block)
     found = there = 0
     for k in range(blocks):
@@ -340,12 +384,18 @@ def _audit_block(nodes: DataFrame, counted: DataFrame, threshold: float, chosen:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = 3, shard_rows: int = 1500, max_shard: int = 4096, sample_rows: int = 20_000,
-    max_centroids: int = 1024, least_recall: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label",
+    vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = 3, shard_rows: int = 1500, max_shard: int = 4096, sample_rows: int = 40_000,
+    max_centroids: int = 4096, least_recall: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label",
 ) -> tuple[DataFrame, dict]:
     """``vec_id, n_links, component_id, kept`` for each row, and the audit ``{"found", "there", "recall", "overlap"}``."""
-    rows, nodes = nodes_of(vectors, vec_id, embedding, label)
-    rows, nodes = common.spool(rows, "vector-rows"), common.spool(nodes, "vector-nodes")
+    seed = 0
+    while True:
+        rows, nodes = nodes_of(vectors, vec_id, embedding, label, seed)
+        rows, nodes = common.spool(rows, "vector-rows"), common.spool(nodes, "vector-nodes")
+        if nodes.groupBy("node").count().where("count > 1").isEmpty():
+            break
+        common.unspool(rows, nodes)  # two vectors of one name
+        seed += 2
     n = nodes.count()
     audited = {"found": 0, "there": 0, "recall": 1.0, "overlap": overlap}
     counted = components_ = None
@@ -370,12 +420,14 @@ def near_duplicates(
                 break
             overlap += 2
         components_ = components.connected(found.where("b is not null").select("a", "b"))
-        nodes = nodes.select("key", "node", "copies").join(counted, "node", "left").join(components_, "node", "left")
-        nodes = nodes.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+        nodes = nodes.select("node", "least", "copies").join(counted, "node", "left").join(components_, "node", "left")
+        nodes = nodes.withColumn("component", F.coalesce("component", "node"))
+        ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+        nodes = nodes.join(ids, "component").select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     else:
-        nodes = nodes.select("key", F.lit(0).cast("long").alias("n_links"), F.col("node").alias("component_id"))
-    out = rows.join(nodes, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id")), audited
+        nodes = nodes.select("node", F.lit(0).cast("long").alias("n_links"), F.col("least").alias("component_id"))
+    out = rows.join(nodes, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), audited
 
 
 SQL = """
