@@ -11,7 +11,8 @@ targets.  Everything depends only on the data and ``seed``: reruns agree.
 Only one row per source comes to the driver (its size), at most ``max_sources``; beyond that an error says so.
 
 Edge cases: null or empty text has size 0 and is never taken; a null source is a source of its own, ordered last;
-repeated rows of one id are separate documents; extra columns are ignored; an empty table gives an empty mix.
+repeated rows of one id are separate documents, told apart by their texts and then by number; a null id is an id like any
+other; extra columns are ignored; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ MAX_REPEATS = 3
 
 
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``doc_id, source, size``: words of each document."""
+    """``doc_id, own, source, size``: words of each document; ``own`` tells texts of one id apart."""
     n = F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)).cast("long"), F.lit(0).cast("long"))
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n.alias("size"))
+    own = F.xxhash64(F.col(text).cast("string")).alias("own")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), own, F.col(source).cast("string").alias("source"), n.alias("size"))
 
 
 def code_point_order(names: list[str | None]) -> list[str | None]:
@@ -141,18 +143,18 @@ def slot_blocks(spark, plan: list[dict], counts: np.ndarray, seed: int, per_task
     return spark.range(0, total, 1, common.parts_for(total, per_task)).mapInArrow(make, "shard long, slot long, source_no long, epoch long, block long")
 
 
-def laid_out(sized: DataFrame, rows: int, per_bucket: int = 50_000) -> DataFrame:
+def laid_out(sized: DataFrame, rows: int, per_bucket: int = 4096) -> DataFrame:
     """Add ``start``: words before the document in its source, in hash order of documents.
 
     Prefix sums run within hash buckets of a source and over the small table of bucket sums, so a source with a third
     of all rows is many tasks.
     """
     buckets = common.parts_for(rows, per_bucket)
-    sized = sized.withColumn("_h", F.xxhash64("doc_id", "size")).withColumn("_b", F.shiftrightunsigned("_h", 33) % buckets)
+    sized = sized.withColumn("_h", F.xxhash64("doc_id", "own")).withColumn("_b", F.shiftrightunsigned("_h", 33) % buckets)
     sums = sized.groupBy("source_no", "_b").agg(F.sum("size").alias("_s"))
     before = Window.partitionBy("source_no").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source_no", "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("source_no", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source_no", "_b").orderBy("_h", "doc_id", "own", "copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_start", F.coalesce(F.sum("size").over(own), F.lit(0)))
     return placed.join(sums, ["source_no", "_b"]).withColumn("start", F.col("_start") + F.col("_before")).drop("_h", "_b", "_start", "_before")
 
@@ -162,8 +164,9 @@ def mix_documents(
 ) -> tuple[DataFrame, DataFrame]:
     """Returns the mix and the documents' sizes.
 
-    Mix: ``shard, slot, epoch, source_no, doc_id, size, copy, first_word, n_words``: the words of each document that a slot
-    takes; ``copy`` numbers rows that share id and size, by source.  Sizes: ``doc_id, source, size, source_no, source_size, target``.
+    Mix: ``shard, slot, epoch, source_no, doc_id, own, copy, first_word, n_words``: the words of each document that a slot
+    takes; ``copy`` numbers rows that share id and text, by source.  Sizes: ``doc_id, own, copy, source, size, source_no,
+    source_size, target``.
     Weights repeat over the sources in code-point order.
     """
     spark = docs.sparkSession
@@ -183,20 +186,19 @@ def mix_documents(
     ])
     sources = spark.createDataFrame([tuple(p.values()) for p in plan], kind)
     sized = sized.join(F.broadcast(sources.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "blocks")
+    sized = sized.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "own").orderBy("source_no")))
     # whole passes take every block; the last pass as many blocks as come nearest to the rest of the target
     totals = np.array([min(MAX_REPEATS * p["blocks"], _blocks_for(p["target"], p["source_size"], p["blocks"])) for p in plan], np.int64)
     shards = max(1, min(shards, int(totals.sum()) // 16 or 1))
     counts = draw_counts(totals, shards, seed) if len(plan) else np.zeros((1, 0), np.int64)
     slots = slot_blocks(spark, plan, counts, seed)
-    placed = laid_out(sized.where("size > 0").select("doc_id", "size", "source_no"), sum(r["n"] for r in found))
-    # rows that share id and size are told apart by their number
-    placed = placed.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("source_no", "start")))
+    placed = laid_out(sized.where("size > 0").select("doc_id", "own", "copy", "size", "source_no"), sum(r["n"] for r in found))
     first, last = F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long")
     pieces = placed.withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("start"), F.col("block") * block)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     pieces = pieces.withColumns({"first_word": begin - F.col("start"), "n_words": end - begin})
-    mix = slots.join(pieces, ["source_no", "block"]).select("shard", "slot", "epoch", "source_no", "doc_id", "size", "copy", "first_word", "n_words")
+    mix = slots.join(pieces, ["source_no", "block"]).select("shard", "slot", "epoch", "source_no", "doc_id", "own", "copy", "first_word", "n_words")
     return mix, sized
 
 
@@ -211,9 +213,10 @@ def _blocks_for(target: float, size: int, blocks: int) -> int:
 def taken(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken``: words the mix takes of each document, repeats counted."""
     mix, sized = mix_documents(docs, **options)
-    per_doc = mix.groupBy("doc_id", "size", "copy").agg(F.sum("n_words").alias("taken"))
-    sized = sized.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("source_no")))
-    out = sized.join(per_doc, ["doc_id", "size", "copy"], "left")
+    per_doc = mix.groupBy("doc_id", "own", "copy").agg(F.sum("n_words").alias("taken"))
+    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("own").alias("_own"), F.col("copy").alias("_copy"), "taken")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_own")) & (F.col("copy") == F.col("_copy"))
+    out = sized.join(per_doc, same, "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -242,15 +245,15 @@ def mixed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     not neighbours are joined by a line break.  Other columns stay.
     """
     mix, _ = mix_documents(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")), **options)
-    spans = mix.groupBy("doc_id", "size", "copy", "epoch").agg(F.collect_list(F.struct("first_word", "n_words")).alias("_spans"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), F.col("copy").alias("_k"), "_spans")
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)).cast("long"), F.lit(0).cast("long"))
-    # one shuffle of the texts, by id, serves the numbering of rows that share id and size and the join
-    rows = docs.withColumn("_key", F.col(doc_id).cast("long")).repartition("_key").withColumn("_size", size)
-    same = Window.partitionBy("_key", "_size").orderBy(F.col(source).asc_nulls_last(), F.xxhash64(text))
+    spans = mix.groupBy("doc_id", "own", "copy", "epoch").agg(F.collect_list(F.struct("first_word", "n_words")).alias("_spans"))
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("own").alias("_n"), F.col("copy").alias("_k"), "_spans")
+    # one shuffle of the texts, by id and text, serves the numbering of equal rows and the join
+    rows = docs.withColumns({"_key": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "_none": F.col(doc_id).cast("long").isNull(), "_own": F.xxhash64(F.col(text).cast("string"))})
+    rows = rows.repartition("_key", "_none", "_own")
+    same = Window.partitionBy("_key", "_none", "_own").orderBy(F.col(source).asc_nulls_last())
     rows = rows.withColumn("_copy", F.row_number().over(same))
-    own = ((F.col("_size") - F.col("_n")) == 0) & ((F.col("_copy") - F.col("_k")) == 0)
-    both = rows.join(spans, (F.col("_key") == F.col("_id")) & own).select(*docs.columns, "_spans")
+    spans = spans.withColumns({"_id": F.coalesce("_id", F.lit(0)), "_no": F.col("_id").isNull()})
+    both = rows.join(spans, F.expr("_key = _id and _none = _no and _own = _n and _copy = _k")).select(*docs.columns, "_spans")
     at = docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
