@@ -6,11 +6,12 @@ its probability is calibrated: a temperature is fitted on perturbed copies of th
 did not see.  A prediction is confirmed if the paragraph holds most of the 3-grams of one of the family's templates.
 
 On the executors everything is joins with the table of learned weights (one row per n-gram of the templates, so bounded) and
-sums.  Paragraphs are lines.  Every template holds at least one of the ``ANCHORS``; a paragraph without any is unknown by
+sums.  Paragraphs are lines.  A paragraph that holds no word of any template, plain words like "the" aside, is unknown by
 definition, and such lines are left out before any n-gram is made.
 
-Edge cases: null or empty text has no paragraphs with an anchor and gives no row; repeated rows give repeated results per
-(doc_id, text) once; a very long line is one paragraph; an empty table gives no rows; extra columns are ignored.
+Edge cases: null or empty text has no paragraphs to score and gives no row; rows of equal id and text give their results once;
+rows without an id are told apart by their texts; a very long line is one paragraph; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnower.llm import common
+
 UNKNOWN = "unknown"
 
 #: Short notices by family, in the usual public wordings.
@@ -110,10 +113,12 @@ OTHER_TEXT = (
 )
 
 
-#: A paragraph without any of these words scores as unknown.
-ANCHORS = (
-    "license", "licensed", "licence", "licenced", "licenses", "spdx", "copyright", "rights", "reserved", "redistribution", "redistribute", "permission", "granted",
-    "proprietary", "confidential", "gnu", "gpl", "lgpl", "agpl", "mpl", "apache", "mozilla", "creative", "commons", "cc0", "noncommercial", "sharealike",
+#: Words that say nothing of a licence.
+PLAIN = (
+    "a", "about", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by", "can", "do", "each", "for", "from", "had", "has", "have", "he", "her",
+    "his", "if", "in", "into", "is", "it", "its", "may", "more", "must", "no", "not", "of", "on", "one", "only", "or", "other", "our", "out", "she", "so", "such", "than",
+    "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "to", "under", "up", "was", "we", "were", "what", "when", "which", "who", "will",
+    "with", "would", "you", "your",
 )
 
 
@@ -132,9 +137,8 @@ class Model:
         self.families = [*TEMPLATES, UNKNOWN]
         rng = np.random.default_rng(seed)
         whole = [(tokens(t), k) for k, f in enumerate(TEMPLATES) for t in TEMPLATES[f]] + [(tokens(t), len(TEMPLATES)) for t in OTHER_TEXT]
-        missing = [t for found in TEMPLATES.values() for t in found if not set(tokens(t)) & set(ANCHORS)]
-        if missing:
-            raise ValueError(f"no anchor in {missing}")
+        #: every word of a template but the plain ones: a paragraph that holds none of them is not about a licence
+        self.anchors = sorted({w for t in TEMPLATES.values() for x in t for w in tokens(x) if len(w) > 1} - set(PLAIN))
 
         def altered(words: list[str]) -> list[str]:
             return [w for w in words if rng.random() > 0.15] + ["filler"] * int(rng.integers(0, 3))
@@ -198,21 +202,24 @@ def _grams(words: Column, n: int) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None, confirm: float = 0.6) -> DataFrame:
-    """A row per paragraph with an anchor: ``doc_id, paragraph, family, probability, template, similarity, confirmed, text``.
+    """A row per paragraph that holds a word of some template: ``doc_id, paragraph, family, probability, template, similarity,
+    confirmed, text``.
 
     ``paragraph`` counts lines from 0.  ``similarity`` is the share of the nearest template's 3-grams (of the predicted
-    family) that the paragraph holds; ``confirmed`` means at least ``confirm``.
+    family) that the paragraph holds; ``confirmed`` means at least ``confirm``.  The paragraphs to score, a small part of the
+    texts, are written once.
     """
     model = model or trained()
     spark = docs.sparkSession
-    anchor = rf"(?i)\b(?:{'|'.join(ANCHORS)})\b"
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")).where(F.col("_text").rlike(anchor))
-    rows = rows.select("doc_id", F.xxhash64("_text").alias("_own"), F.posexplode(F.split("_text", "\n", -1)).alias("paragraph", "_line"))
-    rows = rows.where(F.col("_line").rlike(anchor))
+    anchor = rf"(?i)\b(?:{'|'.join(model.anchors)})\b"
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).where(F.col("_text").rlike(anchor))
+    own = F.xxhash64(F.lit(1), "_text").alias("_own2")
+    rows = rows.select(F.coalesce("_id", F.lit(0)).alias("_id"), F.col("_id").isNull().alias("_none"), F.xxhash64("_text").alias("_own"), own, F.posexplode(F.split("_text", "\n", -1)).alias("paragraph", "_line"))
+    key = ["_id", "_none", "_own", "_own2", "paragraph"]
+    rows = common.spool(rows.where(F.col("_line").rlike(anchor)).dropDuplicates(key), "licence-lines")
     words = F.filter(F.split(F.regexp_replace(F.lower("_line"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
     rows = rows.withColumn("_words", words)
     every = F.array_distinct(F.concat(*(_grams(F.col("_words"), n) for n in (1, 2, 3))))
-    key = ["doc_id", "_own", "paragraph"]
     own = rows.select(*key, F.explode(every).alias("gram"))
 
     K = len(model.families)
@@ -235,5 +242,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Mod
     out = hits.join(near, [*key, "family"], "left")
     out = out.select(*key, "family", "probability", F.col("best.template").alias("template"), F.coalesce("best.similarity", F.lit(0.0)).alias("similarity"))
     out = out.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("similarity") >= confirm))
-    texts = rows.groupBy(*key).agg(F.min("_line").alias("text"))
-    return out.join(texts, key).drop("_own")
+    # a paragraph none of whose n-grams was learned keeps the biases alone
+    out = rows.select(*key, F.col("_line").alias("text")).join(out, key, "left")
+    e = np.exp((model.bias - model.bias.max()) / model.temperature)
+    plain = {"family": model.families[int(model.bias.argmax())], "probability": float((e / e.sum()).max()), "similarity": 0.0, "confirmed": False}
+    out = out.fillna(plain)
+    return out.select(F.when(~F.col("_none"), F.col("_id")).alias("doc_id"), "paragraph", "family", "probability", "template", "similarity", "confirmed", "text")
