@@ -179,3 +179,56 @@ def test_kth_largest(spark, k):
     value, ties = quality_sampling.kth_largest(rows, "v", k)
     ordered = sorted((v[0] for v in values), reverse=True)
     assert value == ordered[k - 1] and ties == ordered[:k].count(value)
+
+
+def test_licences_against_brute_force(spark):
+    """Every paragraph that holds a template's word: family, probability, similarity and template by hand."""
+    import random
+
+    model = license_scan.trained()
+    rng = random.Random(3)
+    made = [t for ts in license_scan.TEMPLATES.values() for t in ts] + list(license_scan.OTHER_TEXT)
+    made += ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND", "warranty", "nothing to see here", ""]
+    made += [" ".join(w for w in t.split() if rng.random() > 0.3) for t in made[:40]]
+    rows = [(k, "\n".join(made[i] for i in range(k, len(made), 7))) for k in range(7)]
+    rows += [(None, made[0]), (None, made[1]), (6, rows[6][1]), (50, None), (51, "")]
+    want = set()
+    sizes = {}
+    for name, family, gram in model.template_rows:
+        sizes.setdefault((name, family), set()).add(gram)
+    for i, text in set(rows):
+        for at, line in enumerate((text or "").split("\n")):
+            w = license_scan.tokens(line)
+            if not set(w) & set(model.anchors):
+                continue
+            p = model._softmax((model._matrix([w]) @ model.weights + model.bias) / model.temperature)[0]
+            family = model.families[int(p.argmax())]
+            held = license_scan.grams(w)
+            near = max((len(g & held) / len(g) for (_, f), g in sizes.items() if f == family), default=0.0)
+            want.add((str(i), at, family, round(float(p.max()), 6), round(near, 6), family != license_scan.UNKNOWN and near >= 0.6, line))
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(want)
+    assert {(str(r["doc_id"]), r["paragraph"], r["family"], round(r["probability"], 6), round(r["similarity"], 6), r["confirmed"], r["text"]) for r in got} == want
+    assert any("WARRANTY" in r["text"] for r in got) and sum(r["doc_id"] is None for r in got) == 2
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    rows = [(7, f"text {k}", "en") for k in range(500)] + [(k, "word " * 9000, "de") for k in range(20)] + [(None, "x", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = crf.labelled_sample(docs, docs.selectExpr("doc_id", "lang as label"), 10, 1000)
+    assert sum(r[2] == "en" for r in got) <= 1 and 1 <= sum(r[2] == "de" for r in got) <= 10 and all(len(r[1]) <= 1000 for r in got)
+    assert [r for r in got if r[2] == "de"]
+
+
+def test_hashes_tell_patterned_texts_apart():
+    """The words of Thue and Morse, on which polynomials modulo a power of two collide."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word.encode(), word.translate(str.maketrans("ab", "ba")).encode()]
+    hashes = set()
+    for t in texts:
+        data = np.frombuffer(t, np.uint8)
+        starts, ends, _ = common.words_of(data, np.array([0, len(data)]))
+        hashes |= {int(common.word_hashes(data, starts, ends)[0]), int(common.run_hashes(data, starts, ends)[0])}
+    assert len(hashes) == 4

@@ -231,14 +231,16 @@ def train(texts: list[str], word_labels: list[np.ndarray], labels: list, rounds:
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_chars: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[int, str, object]]:
     """At most ``per_label`` documents of each value of ``labels`` (doc_id, label), by hash order of the id: training only.
 
-    Held-out documents, null labels and texts over ``max_chars`` never enter.  Ids are ranked without their texts; only
-    the chosen rows' texts come to the driver.
+    Held-out documents, null ids and null labels never enter.  Of a text over ``max_chars`` a window of that length is taken, at a
+    place that the id's hash chooses; of several texts of one id the least.  Ids are ranked once each and without their texts;
+    only the chosen ids' texts, one each, come to the driver.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("label").alias("_label")).where("_label is not null and _id is not null")
-    own = own.where(~common.held_out("_id"))
+    own = own.where(~common.held_out("_id")).distinct()
     order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
     chosen = own.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_label).drop("_r")
-    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    texts = texts.where(f"_text is not null and length(_text) <= {int(max_chars)}")
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label").collect()
+    begin = F.pmod(F.xxhash64("_id", F.lit(7)), F.greatest(F.length("_text") - int(max_chars), F.lit(0)) + 1).cast("int") + 1
+    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).where("_text is not null")
+    texts = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", F.substring("_text", begin, F.lit(int(max_chars))).alias("_text"))
+    rows = texts.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
     return sorted(((r["_id"], r["_text"], r["_label"]) for r in rows), key=lambda r: (r[0], r[1], str(r[2])))

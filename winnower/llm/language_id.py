@@ -89,7 +89,7 @@ def predict(docs: DataFrame, model: crf.Crf, doc_id: str = "doc_id", text: str =
         model = shared.value
         names = np.array([*model.labels, UNKNOWN], object)
         for batch in batches:
-            for at, to, data, offsets in common.text_chunks(batch.column(1)):
+            for at, to, data, offsets in common.text_chunks(batch.column(1), 1 << 19):
                 w = crf.words(data, offsets)
                 lang, score, switches = np.full(to - at, len(model.labels)), np.zeros(to - at), np.zeros(to - at, np.int64)
                 if model.labels and len(w.starts):

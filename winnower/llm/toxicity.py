@@ -123,7 +123,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for at, to, data, offsets in common.text_chunks(batch.column(1)):
+            for at, to, data, offsets in common.text_chunks(batch.column(1), 1 << 19):
                 rows = to - at
                 keys = batch.column(0).slice(at, rows)
                 count = np.zeros(rows, np.int64)
