@@ -220,26 +220,36 @@ def load_profiles(*folders: str) -> dict[str, Profile]:
 
 
 def _built_in() -> dict[str, Profile]:
-    # Published screening limits by profile, (descriptor, operator, limit).
-    limits: dict[str, tuple[int | None, list[tuple[str, str, Any]]]] = {
-        "lipinski": (1, [("mol_wt", "<=", 500), ("rdkit_wlogp", "<=", 5), ("hbd", "<=", 5), ("hba", "<=", 10)]),
-        "veber": (None, [("rotatable_bonds", "<=", 10), ("tpsa", "<=", 140)]),
-        "ghose": (None, [("mol_wt", ">=", 160), ("mol_wt", "<=", 480), ("rdkit_wlogp", ">=", -0.4), ("rdkit_wlogp", "<=", 5.6),
-                         ("mol_mr", ">=", 40), ("mol_mr", "<=", 130), ("total_atom_count", ">=", 20), ("total_atom_count", "<=", 70)]),
-        "egan": (None, [("rdkit_wlogp", "<=", 5.88), ("tpsa", "<=", 131.6)]),
-        "muegge": (None, [("mol_wt", "between_inclusive", (200, 600)), ("rdkit_wlogp", "between_inclusive", (-2, 5)), ("tpsa", "<=", 150), ("ring_count", "<=", 7),
-                          ("carbon_count", ">", 4), ("heteroatom_count", ">", 1), ("rotatable_bonds", "<=", 15), ("hba", "<=", 10), ("hbd", "<=", 5)]),
-        "lead_like": (None, [("mol_wt", "between_inclusive", (250, 350)), ("rdkit_wlogp", "<=", 3.5), ("rotatable_bonds", "<=", 7)]),
-        "ro3_core": (None, [("mol_wt", "<=", 300), ("rdkit_wlogp", "<=", 3), ("hbd", "<=", 3), ("hba", "<=", 3)]),
-        "ro3_extended": (None, [("mol_wt", "<=", 300), ("rdkit_wlogp", "<=", 3), ("hbd", "<=", 3), ("hba", "<=", 3), ("rotatable_bonds", "<=", 3), ("tpsa", "<=", 60)]),
-        "cns_like": (1, [("mol_wt", "<=", 400), ("tpsa", "<=", 90), ("hbd", "<=", 3), ("rdkit_wlogp", "between_inclusive", (1, 4)), ("rotatable_bonds", "<=", 8), ("no_count", "<=", 5)]),
-        "beyond_ro5": (None, [("mol_wt", "<=", 1000), ("rdkit_wlogp", "between_inclusive", (-2, 10)), ("hbd", "<=", 6), ("hba", "<=", 15), ("rotatable_bonds", "<=", 20), ("tpsa", "<=", 250)]),
-        "dockability_envelope": (None, [("mol_wt", "between_inclusive", (120, 700)), ("tpsa", "<=", 200), ("hbd", "<=", 10), ("hba", "<=", 16),
-                                        ("rotatable_bonds", "<=", 18), ("rdkit_wlogp", "between_inclusive", (-3, 8))]),
+    # Published screening limits by profile: violations allowed, prefix of the failure codes, (descriptor, operator, limit, code).
+    limits: dict[str, tuple[int | None, str, list[tuple[str, str, Any, str]]]] = {
+        "lipinski": (1, "LIP", [("mol_wt", "<=", 500, "MW_HIGH"), ("rdkit_wlogp", "<=", 5, "LOGP_HIGH"), ("hbd", "<=", 5, "HBD_HIGH"), ("hba", "<=", 10, "HBA_HIGH")]),
+        "veber": (None, "VEB", [("rotatable_bonds", "<=", 10, "ROTB_HIGH"), ("tpsa", "<=", 140, "TPSA_HIGH")]),
+        "ghose": (None, "GHO", [
+            ("mol_wt", ">=", 160, "MW_LOW"), ("mol_wt", "<=", 480, "MW_HIGH"), ("rdkit_wlogp", ">=", -0.4, "LOGP_LOW"), ("rdkit_wlogp", "<=", 5.6, "LOGP_HIGH"),
+            ("mol_mr", ">=", 40, "MR_LOW"), ("mol_mr", "<=", 130, "MR_HIGH"), ("total_atom_count", ">=", 20, "ATOMS_LOW"), ("total_atom_count", "<=", 70, "ATOMS_HIGH")]),
+        "egan": (None, "EGA", [("rdkit_wlogp", "<=", 5.88, "LOGP_HIGH"), ("tpsa", "<=", 131.6, "TPSA_HIGH")]),
+        "muegge": (None, "MUE", [
+            ("mol_wt", ">=", 200, "MW_LOW"), ("mol_wt", "<=", 600, "MW_HIGH"), ("rdkit_wlogp", ">=", -2, "LOGP_LOW"), ("rdkit_wlogp", "<=", 5, "LOGP_HIGH"),
+            ("tpsa", "<=", 150, "TPSA_HIGH"), ("ring_count", "<=", 7, "RINGS_HIGH"), ("carbon_count", ">", 4, "CARBON_LOW"), ("heteroatom_count", ">", 1, "HETERO_LOW"),
+            ("rotatable_bonds", "<=", 15, "ROTB_HIGH"), ("hba", "<=", 10, "HBA_HIGH"), ("hbd", "<=", 5, "HBD_HIGH")]),
+        "lead_like": (None, "LL", [("mol_wt", ">=", 250, "MW_LOW"), ("mol_wt", "<=", 350, "MW_HIGH"), ("rdkit_wlogp", "<=", 3.5, "LOGP_HIGH"), ("rotatable_bonds", "<=", 7, "ROTB_HIGH")]),
+        "ro3_core": (None, "RO3", [("mol_wt", "<=", 300, "MW_HIGH"), ("rdkit_wlogp", "<=", 3, "LOGP_HIGH"), ("hbd", "<=", 3, "HBD_HIGH"), ("hba", "<=", 3, "HBA_HIGH")]),
+        "ro3_extended": (None, "RO3", [
+            ("mol_wt", "<=", 300, "MW_HIGH"), ("rdkit_wlogp", "<=", 3, "LOGP_HIGH"), ("hbd", "<=", 3, "HBD_HIGH"), ("hba", "<=", 3, "HBA_HIGH"),
+            ("rotatable_bonds", "<=", 3, "ROTB_HIGH"), ("tpsa", "<=", 60, "TPSA_HIGH")]),
+        "cns_like": (1, "CNS", [
+            ("mol_wt", "<=", 400, "MW_HIGH"), ("tpsa", "<=", 90, "TPSA_HIGH"), ("hbd", "<=", 3, "HBD_HIGH"), ("rdkit_wlogp", ">=", 1, "LOGP_LOW"),
+            ("rdkit_wlogp", "<=", 4, "LOGP_HIGH"), ("rotatable_bonds", "<=", 8, "ROTB_HIGH"), ("no_count", "<=", 5, "NO_HIGH")]),
+        "beyond_ro5": (None, "BRO5", [
+            ("mol_wt", "<=", 1000, "MW_HIGH"), ("rdkit_wlogp", ">=", -2, "LOGP_LOW"), ("rdkit_wlogp", "<=", 10, "LOGP_HIGH"), ("hbd", "<=", 6, "HBD_HIGH"),
+            ("hba", "<=", 15, "HBA_HIGH"), ("rotatable_bonds", "<=", 20, "ROTB_HIGH"), ("tpsa", "<=", 250, "TPSA_HIGH")]),
+        "dockability_envelope": (None, "DOCK", [
+            ("mol_wt", "between_inclusive", (120, 700), "MW_OUTSIDE"), ("tpsa", "<=", 200, "TPSA_HIGH"), ("hbd", "<=", 10, "HBD_HIGH"), ("hba", "<=", 16, "HBA_HIGH"),
+            ("rotatable_bonds", "<=", 18, "ROTB_HIGH"), ("rdkit_wlogp", "between_inclusive", (-3, 8), "LOGP_OUTSIDE")]),
     }
     out = {}
-    for name, (tolerance, rows) in limits.items():
-        rules = tuple(Rule(f"{name}_{d}_{k}", d, op, t) for k, (d, op, t) in enumerate(rows, 1))
+    for name, (tolerance, prefix, rows) in limits.items():
+        rules = tuple(Rule(f"{name}_{code.lower()}", d, op, t, failure_code=f"{prefix}_{code}") for d, op, t, code in rows)
         out[name] = Profile(name, rules, tolerance)
     return out
 

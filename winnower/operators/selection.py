@@ -150,11 +150,11 @@ def crossed_quota_kernel(pool: pd.DataFrame, n: int, a: str, b: str, most_a: int
 def select_crossed_quotas(df: DataFrame, n: int, a: str, b: str, most_a: int, most_b: int, rank: list[Column], record_id: str = "record_id", most_pool: int = 50_000) -> DataFrame:
     """The best ``n`` under quotas on two groupings: ``record_id, position``.
 
-    Within a pair of groups better ranked rows replace worse ones freely, so the best min(n, quotas) of each pair are enough;
-    that pool, bounded by ``most_pool``, goes to one kernel.
+    Within a pair of groups better ranked rows replace worse ones freely, so the best min(n, quotas) of each pair are enough (a
+    NULL group has no quota); that pool, bounded by ``most_pool``, goes to one kernel.
     """
     order = ordered(rank, record_id)
-    keep = min(n, max(most_a, most_b))
+    keep = F.least(F.lit(n), F.when(F.col(a).isNotNull(), most_a).otherwise(n), F.when(F.col(b).isNotNull(), most_b).otherwise(n))
     pair = df.withColumn("_r", F.row_number().over(Window.partitionBy(a, b).orderBy(*order))).where(F.col("_r") <= keep).drop("_r")
     if pair.limit(most_pool + 1).count() > most_pool:
         raise ValueError(f"more than {most_pool} records in the pruned pool")
@@ -250,3 +250,122 @@ def coverage(df: DataFrame, group: str, selected: str = "selected") -> DataFrame
     out = df.agg(F.count("*").alias("records"), F.count_if(selected).alias("selected"), F.count_distinct(group).alias("groups"),
                  F.count_distinct(F.when(F.col(selected), F.col(group))).alias("covered"))
     return out.withColumn("coverage", F.col("covered") / F.nullif("groups", F.lit(0)))
+
+
+# ---- selection under one quota, with pins, exclusions and coverage
+
+#: Order of each strategy, (column, ascending); absent columns are skipped.
+STRATEGIES: dict[str, tuple[tuple[str, bool], ...]] = {
+    "balanced": (("pareto_rank", True), ("crowding_distance", False), ("robustness_score", False), ("qed", False)),
+    "pareto_first": (("pareto_rank", True), ("distance_to_ideal", True), ("qed", False)),
+    "diversity_first": (("crowding_distance", False), ("pareto_rank", True), ("robustness_score", False)),
+    "scaffold_coverage": (("scaffold_size", True), ("pareto_rank", True), ("robustness_score", False)),
+    "manual_assisted": (("pareto_rank", True), ("qed", False)),
+    "qed_only": (("qed", False),),
+}
+
+
+def strategy_order(columns: list[str], strategy: str, record_id: str = "record_id") -> list[Column]:
+    """A strategy's order over the columns at hand, missing values last, equals by id.
+
+    ``selection_priority`` (smaller is better) replaces it, but for ``qed_only``; coverage still puts small groups first.
+    """
+    keys = [k for k in STRATEGIES[strategy] if k[0] in columns]
+    if strategy == "qed_only" and not keys:
+        raise ValueError("qed_only needs the column qed")
+    if "selection_priority" in columns and strategy != "qed_only":
+        small = [k for k in keys if strategy == "scaffold_coverage" and k[0] == "scaffold_size"]
+        keys = [*small, ("selection_priority", True)]
+    return [*(F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in keys), F.asc(record_id)]
+
+
+def constrained_selection(
+    df: DataFrame, n: int, strategy: str = "balanced", group: str = "murcko_scaffold", most: int | None = None, least_groups: int = 0,
+    pinned: DataFrame | None = None, excluded: DataFrame | None = None, record_id: str = "record_id",
+) -> DataFrame:
+    """Every candidate with ``selected, position, reason``: exclusions, then pins, then the best of groups not yet covered until
+    ``least_groups`` are, then the strategy's order, at most ``most`` of a group and ``n`` in all.
+
+    A NULL group is not limited and covers nothing; '' is a group.  Pins always stay.  All of it is windows within groups, which rank in
+    slices first where a group is large, and one ordered cut at ``n``: no loop over candidates.
+    """
+    columns = df.columns
+    if strategy == "qed_only":
+        q = F.col("qed").cast("double")
+        if not df.where(q.isNull() | F.isnan(q) | (q < 0) | (q > 1)).isEmpty():
+            raise ValueError("qed_only needs finite values from 0 to 1")
+    pool = df if excluded is None else df.join(excluded.select(record_id).distinct(), record_id, "left_anti")
+    pins = F.lit(False)
+    if pinned is not None:
+        pool = pool.join(pinned.select(record_id).distinct().withColumn("_pin", F.lit(True)), record_id, "left")
+        pins = F.coalesce("_pin", F.lit(False))
+    pool = pool.withColumn("_pin", pins)
+    if strategy == "scaffold_coverage":
+        sizes = pool.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("scaffold_size"))
+        pool = pool.drop("scaffold_size").join(sizes, group, "left")
+        columns = pool.columns
+    order = strategy_order(columns, strategy, record_id)
+    named = F.col(group).isNotNull()
+    within = [F.desc("_pin"), *order]
+    # a row's place in its group can't be better than in its slice: only rows that lead their slice can lead the group
+    keep = most if most is not None else 1
+    sliced = pool.withColumn("_slice", F.pmod(F.xxhash64(record_id), F.lit(64)))
+    sliced = sliced.withColumn("_s", F.when(named, F.row_number().over(Window.partitionBy(group, "_slice").orderBy(*within))))
+    heads = sliced.where(named & (F.col("_s") <= keep))
+    places = heads.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*within))).where(F.col("_r") <= keep).select(record_id, "_r")
+    pool = sliced.drop("_slice", "_s").join(places, record_id, "left")
+    covered = pool.where(F.col("_pin") & named).select(group).distinct()
+    wanted = least_groups
+    if strategy == "scaffold_coverage":
+        wanted = max(wanted, pool.where(named).select(group).distinct().count())
+    still = max(0, wanted - covered.count()) if wanted else 0
+    first = pool.where(named & ~F.col("_pin") & (F.col("_r") == 1)).orderBy(*order).limit(still).select(record_id).withColumn("_cover", F.lit(True))
+    pool = pool.join(first, record_id, "left")
+    tier = F.when(F.col("_pin"), 0).when(F.col("_cover"), 1).otherwise(2)
+    fits = F.col("_pin") | (F.lit(most is None) | ~named | F.col("_r").isNotNull())
+    pool = pool.withColumns({"_tier": tier, "_fits": fits})
+    taken = pool.where("_pin").count()
+    rest = pool.where(F.col("_fits") & ~F.col("_pin")).orderBy("_tier", *order).limit(max(0, n - taken))
+    chosen = pool.where("_pin").unionByName(rest)
+    rank = [F.when(F.col("_tier") == 0, F.col(record_id)).asc_nulls_last(), F.col("_tier"), *order]
+    chosen = chosen.withColumn("position", F.row_number().over(Window.orderBy(*rank)).cast("long")).select(record_id, "position")
+    out = pool.join(chosen, record_id, "left")
+    reason = (
+        F.when(F.col("position").isNotNull(), F.when(F.col("_pin"), "pinned").when(F.col("_cover"), "covers a group").otherwise("strategy order"))
+        .when(~F.col("_fits"), "group quota").otherwise("number reached")
+    )
+    return out.select(*df.columns, F.col("position").isNotNull().alias("selected"), "position", reason.alias("reason"))
+
+
+def select_priority(df: DataFrame, n: int, priority: str = "priority_score", identity: str = "identity", flags: tuple[str, ...] = ("eligible", "valid"), **options) -> DataFrame:
+    """Checked input, then ``constrained_selection`` by descending priority: flags must be booleans without NULL, identities distinct,
+    ids unique; rows that are not eligible or not valid are left out, pinned or not."""
+    record_id = options.get("record_id", "record_id")
+    for f in flags:
+        if dict(df.dtypes)[f] != "boolean" or not df.where(F.col(f).isNull()).isEmpty():
+            raise ValueError(f"{f} must be true or false in every row")
+    fine = df.where(" and ".join(flags))
+    for key in (record_id, identity):
+        if not fine.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+            raise ValueError(f"{key} must be unique")
+    return constrained_selection(fine.withColumn("selection_priority", -F.col(priority)), n, **options).drop("selection_priority")
+
+
+def dispatch(df: DataFrame, plan: dict, record_id: str = "record_id") -> DataFrame:
+    """One of the pipeline's strategies, in this order of precedence: zones, novelty, diversity, a constrained strategy, record order.
+
+    ``plan`` names it by its keys: ``zones`` (members, zones, score), ``novelty`` (column, n), ``diversity`` (words, n),
+    ``strategy`` (arguments of ``constrained_selection``), or only ``n``.  Returns ``record_id`` and ``position``.
+    """
+    if "zones" in plan:
+        z = allocate_zones(**plan["zones"], record_id=record_id)
+        return z.select(record_id, F.row_number().over(Window.orderBy("zone_id", "rank")).cast("long").alias("position"))
+    if "novelty" in plan:
+        best = df.orderBy(F.asc_nulls_last(plan["novelty"]["column"]), record_id).limit(plan["novelty"]["n"])
+        return best.select(record_id, F.row_number().over(Window.orderBy(F.asc_nulls_last(plan["novelty"]["column"]), record_id)).cast("long").alias("position"))
+    if "diversity" in plan:
+        return maxmin(df, plan["diversity"]["n"], record_id, plan["diversity"]["words"]).select(record_id, "position")
+    if "strategy" in plan:
+        return constrained_selection(df, record_id=record_id, **plan["strategy"]).where("selected").select(record_id, "position")
+    best = df.orderBy(record_id).limit(plan["n"])
+    return best.select(record_id, F.row_number().over(Window.orderBy(record_id)).cast("long").alias("position"))

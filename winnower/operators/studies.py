@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -87,6 +88,17 @@ def bootstrap_mean(df: DataFrame, cluster: str, value: str, repeats: int, seed:
     return ends.crossJoin(sums.agg((F.sum("s") / F.sum("n")).alias("mean"))).select("low", "mean", "high")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """What ``spark.checkpoint.dir`` names; unset, a temporary folder in a local session and an error on a cluster, whose
+    executors would write where nobody else reads."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="winnower-")
+    return named
+
+
 def connected_groups(df: DataFrame, ident: str, group: str) -> DataFrame:
     """``ident, component``: records that share a group, directly or along a chain, have one component (the least id).
 
@@ -96,12 +108,7 @@ def connected_groups(df: DataFrame, ident: str, group: str) -> DataFrame:
     label = df.select(ident).distinct().withColumn("component", F.col(ident))
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="winnower-")
-        spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     member = member.checkpoint()
     while True:
         least = member.join(label, ident).groupBy(group).agg(F.min("component").alias("_m"))

@@ -221,7 +221,7 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return objectives.desirabilities(_pool(spark, sf), OBJECTIVES, "c_custkey")
 
 
-SCORES = """p AS (SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_acctbal END AS bal, c_nationkey FROM customer WHERE c_custkey <= 1500),
+SCORES = """p AS (SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_acctbal END AS bal, c_nationkey FROM customer),
 d AS (SELECT c_custkey, coalesce(bal, (SELECT min(bal) - 1 FROM p)) AS d0, -c_nationkey::DOUBLE AS d1, -abs(c_custkey::DOUBLE - 700) AS d2 FROM p),
 dom AS (SELECT a.c_custkey AS lo, b.c_custkey AS hi FROM d a JOIN d b ON b.d0 >= a.d0 AND b.d1 >= a.d1 AND b.d2 >= a.d2 AND (b.d0 > a.d0 OR b.d1 > a.d1 OR b.d2 > a.d2))"""
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnower.plans import analysis, choosing, measuring, screening, studies
+from winnower.plans import analysis, choosing, further, measuring, screening, studies
 
-_MODULES = (screening, analysis, choosing, measuring, studies)
+_MODULES = (screening, analysis, choosing, measuring, studies, further)
 flagship = screening.flagship
 
 

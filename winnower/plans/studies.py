@@ -59,12 +59,6 @@ def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def connected_groups(spark: SparkSession, sf: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_orderkey <= 400")
-    return S.connected_groups(li, "l_orderkey", "l_suppkey")
-
-
-def connected_groups_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Over all orders; ``connected_groups`` takes the few that its recursive SQL can follow."""
     return S.connected_groups(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_orderkey", "l_suppkey")
 
 
@@ -139,7 +133,7 @@ _MOLS = "mol AS (SELECT * FROM (VALUES " + ", ".join("({}, {})".format(k, ", ".j
 QUERIES = {
     f.__name__: f
     for f in (
-        hash_sample, background_sample, round_robin_pick, rejection_reasons, temporal_reserve, label_matrix, feature_support, threshold_sweep, bootstrap_interval, connected_groups, connected_groups_all,
+        hash_sample, background_sample, round_robin_pick, rejection_reasons, temporal_reserve, label_matrix, feature_support, threshold_sweep, bootstrap_interval, connected_groups,
         descriptor_histogram, violation_counts, zone_statistics, entropy_weights, dominance_warning, pattern_gate, basket_overlap, structure_counts, structure_profiles,
     )
 }
@@ -161,8 +155,9 @@ ORACLE = {
       u AS (SELECT s, n, r.range AS repeat, ('0x' || substr(sha256('b:' || r.range || ':' || source), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM s, range(200) r),
       w AS (SELECT *, (u > 0.36787944117144233::DOUBLE)::INT + (u > 0.7357588823428847::DOUBLE)::INT + (u > 0.9196986029286058::DOUBLE)::INT + (u > 0.9810118431238462::DOUBLE)::INT + (u > 0.9963401531726563::DOUBLE)::INT AS w FROM u),
       m AS (SELECT sum(s * w) / nullif(sum(n * w), 0) AS m FROM w GROUP BY repeat) SELECT quantile_cont(m, 0.025) AS low, (SELECT sum(s) / sum(n) FROM s) AS mean, quantile_cont(m, 0.975) AS high FROM m""",
-    "connected_groups": """WITH RECURSIVE li AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_orderkey <= 400), e AS (SELECT DISTINCT a.o AS x, b.o AS y FROM li a JOIN li b USING (s)),
-      r AS (SELECT DISTINCT o AS x, o AS y FROM li UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x AS l_orderkey, min(y) AS component FROM r GROUP BY x""",
+    "connected_groups": """WITH RECURSIVE li AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), e AS (SELECT DISTINCT a.s AS x, b.s AS y FROM li a JOIN li b USING (o)),
+      r AS (SELECT DISTINCT s AS x, s AS y FROM li UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), c AS (SELECT x, min(y) AS c FROM r GROUP BY x),
+      m AS (SELECT c.c, min(o) AS component FROM li JOIN c ON c.x = s GROUP BY c.c) SELECT DISTINCT o AS l_orderkey, component FROM li JOIN c ON c.x = s JOIN m ON m.c = c.c""",
     "descriptor_histogram": f"WITH {REC}, e AS (SELECT min(price) AS lo, max(price) AS hi FROM rec) SELECT least(floor((price - lo) / ((hi - lo) / 25)), 24)::INT AS bin, count(*) AS n, count(*) FILTER (size > 25) AS chosen FROM rec, e GROUP BY 1",
     "zone_statistics": f"""WITH {REC}, z AS (SELECT record_id, 'cheap' AS zone_id FROM rec WHERE price < 930 UNION ALL SELECT record_id, 'large' FROM rec WHERE size > 30 UNION ALL SELECT record_id, 'small' FROM rec WHERE size <= 20),
       c AS (SELECT zone_id, count(*) OVER (PARTITION BY record_id) AS k FROM z) SELECT zone_id, count(*) AS size, count(*) FILTER (k > 1) AS shared FROM c GROUP BY zone_id""",

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Column names taken for structures and ids, in order of preference, in lower case.
-STRUCTURE_NAMES = ("smiles", "canonical_smiles", "isomeric_smiles", "structure", "smi", "molecule")
-ID_NAMES = ("id", "molecule_id", "compound_id", "name", "title", "catalog_id", "chembl_id", "zinc_id")
+STRUCTURE_NAMES = ("smiles", "smile", "canonical_smiles", "isomeric_smiles", "structure", "smi", "molecule")
+ID_NAMES = ("id", "molecule_id", "compound_id", "cid", "name", "title", "catalog_id", "chembl_id", "zinc_id")
 _DELIMITERS = (",", ";", "\t", "|")
 
 
@@ -40,7 +40,7 @@ def _suffix(path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """Any delimited, structure, Parquet, ORC or JSON-lines file; delimited values stay text, blanks stay blank."""
+    """Any delimited, structure, workbook, Parquet, ORC or JSON-lines file; delimited values stay text, blanks stay blank."""
     kind = _suffix(path)
     if kind in ("csv", "tsv", "txt"):
         first = spark.read.text(path).head()
@@ -52,6 +52,10 @@ def read_table(spark: SparkSession, path: str, rows: int | None = None) -> DataF
         df = spark.read.parquet(path)
     elif kind == "orc":
         df = spark.read.orc(path)
+    elif kind in ("xlsx", "xlsm"):
+        from winnower.sources.workbooks import read_sheet
+
+        df = read_sheet(spark, path)
     elif kind in ("jsonl", "ndjson"):
         df = spark.read.json(path)
     else:
@@ -67,10 +71,12 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def guess_mapping(columns: Sequence[str]) -> tuple[str | None, str | None]:
-    """(structure column, id column) by well-known names in any case."""
+    """(structure column, id column) by well-known names in any case; without one, the first column holds the structure."""
     by_name = {c.strip().lower(): c for c in reversed(list(columns))}
     pick = lambda names: next((by_name[n] for n in names if n in by_name), None)
-    return pick(STRUCTURE_NAMES), pick(ID_NAMES)
+    structure = pick(STRUCTURE_NAMES) or next(iter(columns), None)
+    ident = pick(ID_NAMES)
+    return structure, ident if ident != structure else None
 
 
 def preview_columns(spark: SparkSession, path: str) -> list[str]:
@@ -99,7 +105,12 @@ def load_records(spark: SparkSession, sources: Sequence[Source], first: int | No
     rows = rows.withColumn("source_row", F.col("record_id") - F.min("record_id").over(first_of) + 2)
     made_up = F.format_string("REC%07d", "record_id")
     out = rows.select("record_id", F.coalesce(F.nullif(F.trim("_id"), F.lit("")), made_up).alias("molecule_id"), "original_smiles", "source_file", "source_row")
-    return out.where(F.col("record_id") <= first) if first else out
+    if first is None:
+        return out
+    capped = out.where(F.col("record_id") <= first)
+    if capped.isEmpty():
+        raise ValueError("no records to read")
+    return capped
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
