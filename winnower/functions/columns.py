@@ -65,19 +65,49 @@ def percent_rank(value: str, by: list[str] | None = None) -> Column:
     return F.when(F.col(value).isNotNull(), (below + (ties - 1) / 2) / F.count(value).over(part))
 
 
-def spread_ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Add the 1-based position of each row in a total order without one task sorting all rows.
+def spread_ranked(df: DataFrame, order: list[Column], name: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """Add the 1-based position of each row in a total order without one task sorting all rows; ``sums`` maps columns to the names of
+    their running sums, the row's own value included.
 
-    Rows are range-partitioned by the order; positions are ranks within a partition plus the sizes of those before, a
+    Rows are range-partitioned by the order; positions and sums are those within a partition plus those of the partitions before, a
     table with one row per partition.
     """
+    sums = sums or {}
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     own: WindowSpec = Window.partitionBy("_part").orderBy(*order)
-    ranged = ranged.withColumn("_at", F.row_number().over(own))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    ranged = ranged.withColumns({"_at": F.row_number().over(own), **{f"_s_{out}": F.sum(c).over(upto) for c, out in sums.items()}})
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_n_{out}") for c, out in sums.items()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    ahead = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    sizes = sizes.select("_part", ahead("_n").alias("_before"), *(ahead(f"_n_{out}").alias(f"_b_{out}") for out in sums.values()))
+    out_ = ranged.join(F.broadcast(sizes), "_part").withColumns({name: F.col("_at") + F.col("_before"), **{out: F.col(f"_s_{out}") + F.col(f"_b_{out}") for out in sums.values()}})
+    return out_.drop("_part", "_at", "_before", *(f"_s_{out}" for out in sums.values()), *(f"_b_{out}" for out in sums.values()))
+
+
+def value_places(df: DataFrame, value: str, descending: bool = False) -> DataFrame:
+    """``value, before, ties, known``: per distinct value the number of rows before it, equal to it and in all; NULL has none.
+
+    Rows are counted per value first, so only distinct values are sorted, and those in many tasks.
+    """
+    cells = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties"))
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    cells = spread_ranked(cells, [order], "_p", {"ties": "_run"})
+    total = cells.agg(F.sum("ties").alias("known"))
+    return cells.crossJoin(F.broadcast(total)).select(value, (F.col("_run") - F.col("ties")).alias("before"), "ties", "known")
+
+
+def with_rank(df: DataFrame, value: str, name: str, descending: bool = True) -> DataFrame:
+    """``df`` with the 1-based rank over all rows: ties share the best, missing values have none."""
+    places = value_places(df, value, descending).select(F.col(value).alias("_v"), (F.col("before") + 1).cast("int").alias(name))
+    return df.join(places, F.col(value) == F.col("_v"), "left").drop("_v")
+
+
+def with_percentile(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the average rank of ties over the number of values, in (0, 1]; missing values have none."""
+    share = (F.col("before") + 1 + (F.col("ties") - 1) / 2) / F.col("known")
+    places = value_places(df, value).select(F.col(value).alias("_v"), share.alias(name))
+    return df.join(places, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
 def sign_words(embedding: str = "embedding", bits: int = 64) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from winnower.functions.columns import spread_ranked
 from winnower.operators.matching import hash_fold
 
 
@@ -98,7 +99,7 @@ def earlier_context(queries: DataFrame, references: DataFrame, key: str, date: s
 
 def _ranked(df: DataFrame, score: str, label: str, ident: str) -> DataFrame:
     known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.col(ident).alias("i"), F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"))
-    return known.withColumn("r", F.row_number().over(Window.orderBy(F.desc("s"), "i")))
+    return spread_ranked(known, [F.desc("s"), F.asc("i")], "r", {"y": "hits"})
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -108,8 +109,8 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """
     known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     cells = known.groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    part = cells.withColumn("wins", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("n") / 2))
+    cells = spread_ranked(cells, [F.asc("s")], "_p", {"n": "upto"})
+    part = cells.withColumn("wins", F.col("p") * (F.col("upto") - F.col("n") / 2))
     return part.agg((F.sum("wins") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
 
 
@@ -127,7 +128,7 @@ def metrics_at(df: DataFrame, score: str, label: str, ident: str, at: list[int])
 
 def average_precision(df: DataFrame, score: str, label: str, ident: str) -> DataFrame:
     """``average_precision``: mean precision at the positives, in rank order."""
-    r = _ranked(df, score, label, ident).withColumn("hits", F.sum("y").over(Window.orderBy("r")))
+    r = _ranked(df, score, label, ident)
     return r.agg((F.sum(F.when(F.col("y") == 1, F.col("hits") / F.col("r"))) / F.nullif(F.sum("y"), F.lit(0))).alias("average_precision"))
 
 

@@ -10,9 +10,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from winnower.functions.columns import all_of, clip, closed, count_true
+from winnower.functions.columns import all_of, clip, closed, count_true, spread_ranked
 from winnower.operators.expressions import compile_expression
 from winnower.operators.rules import Profile
 
@@ -185,7 +184,7 @@ def group_table(df: DataFrame, group: str, empty: str = "(none)") -> DataFrame:
     """``group, n, group_id``: sizes, ids by descending size; the empty group has a name of its own."""
     label = F.when(F.col(group) == "", F.lit(empty)).otherwise(F.col(group))
     sizes = df.where(F.col(group).isNotNull()).groupBy(label.alias("group")).agg(F.count("*").alias("n"))
-    return sizes.withColumn("group_id", F.row_number().over(Window.orderBy(F.desc("n"), "group")))
+    return spread_ranked(sizes, [F.desc("n"), F.asc("group")], "group_id").withColumn("group_id", F.col("group_id").cast("int"))
 
 
 def diversity(df: DataFrame, group: str) -> DataFrame:

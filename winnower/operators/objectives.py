@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from winnower.functions.columns import percent_rank, spread_ranked
+from winnower.functions.columns import spread_ranked, with_percentile
 
 
 @dataclass(frozen=True)
@@ -170,7 +170,9 @@ def weighted_priority(df: DataFrame, objectives: list[Objective], record_id: str
     """Weighted mean of the percentile ranks of the desirabilities: ``priority``."""
     scores = desirabilities(df, objectives, record_id)
     weight = sum(o.weight for o in objectives)
-    total = sum((percent_rank(f"d{k}") * o.weight for k, o in enumerate(objectives)), F.lit(0.0))
+    for k in range(len(objectives)):
+        scores = with_percentile(scores, f"d{k}", f"_p{k}")
+    total = sum((F.col(f"_p{k}") * o.weight for k, o in enumerate(objectives)), F.lit(0.0))
     return scores.select(record_id, (total / weight).alias("priority"))
 
 

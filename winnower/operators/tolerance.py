@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from winnower.functions.columns import clip, closed, sigmoid
+from winnower.functions.columns import clip, closed, sigmoid, spread_ranked
 
 #: Least distinct identities, scaffolds and documents behind a relaxation; shrinkage of small supports.
 SUPPORT = {"identities": 20, "scaffolds": 5, "documents": 3}
@@ -101,10 +101,13 @@ def calibrate(df: DataFrame, score: str, active: str, base: str, retention: floa
 def conformal_cutoff(df: DataFrame, error: str, label: str, alpha: float = 0.1) -> DataFrame:
     """Per class the order statistic of rank ceil((n + 1)(1 - alpha)) of the errors, 1 if there is none: ``label, q``."""
     known = df.where(F.col(label).isNotNull() & F.col(error).isNotNull())
-    part = Window.partitionBy(label)
-    ranked = known.withColumns({"_r": F.row_number().over(part.orderBy(error)), "_n": F.count("*").over(part)})
+    cells = known.groupBy(label, error).agg(F.count("*").alias("_c"))
+    cells = spread_ranked(cells, [F.asc(label), F.asc(error)], "_p", {"_c": "_run"})
+    classes = cells.groupBy(label).agg(F.min(F.col("_run") - F.col("_c")).alias("_first"), F.sum("_c").alias("_n"))
     rank = F.ceil((F.col("_n") + 1) * F.lit(1 - alpha))
-    return ranked.groupBy(label).agg(F.coalesce(F.max(F.when(F.col("_r") == rank, F.col(error))), F.lit(1.0)).alias("q"))
+    cells = cells.join(F.broadcast(classes), label).where(F.col("_run") - F.col("_first") >= rank)
+    least = cells.groupBy(label).agg(F.min(error).alias("q"))
+    return classes.select(label).join(least, label, "left").select(label, F.coalesce("q", F.lit(1.0)).alias("q"))
 
 
 def prediction_set(probability: Column, q0: Column, q1: Column) -> Column:
@@ -134,7 +137,6 @@ def information_queue(df: DataFrame, priority: str, wanted: Column, budget: int,
 def rescue(df: DataFrame, base: str, score: str, supported: str, fraction: float, ident: str) -> DataFrame:
     """The best floor(fraction * baseline) supported rows outside the baseline, by score and SHA-256 of the id: ``rescue_rank``."""
     budget = df.agg(F.floor(F.lit(fraction) * F.count_if(base)).alias("_b"))
-    order = Window.orderBy(score, F.sha2(F.col(ident).cast("string"), 256), ident)
     rows = df.where(~F.col(base) & closed(F.col(supported)) & F.col(score).isNotNull())
-    ranked = rows.withColumn("rescue_rank", F.row_number().over(order)).crossJoin(F.broadcast(budget))
+    ranked = spread_ranked(rows, [F.asc(score), F.sha2(F.col(ident).cast("string"), 256).asc(), F.asc(ident)], "rescue_rank").crossJoin(F.broadcast(budget))
     return ranked.where(F.col("rescue_rank") <= F.col("_b")).drop("_b")

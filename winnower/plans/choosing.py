@@ -203,5 +203,5 @@ ORACLE = {
     "basket_counters": f"WITH {BASKET} SELECT count(*) AS records, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("selected", "reserve", "excluded", "undecided")) + ", count(*) FILTER (pinned) AS pinned FROM bk",
     "basket_replaced": f"""WITH {BASKET}, n AS (SELECT range AS record_id FROM range(50, 120)) SELECT coalesce(bk.record_id, n.record_id) AS record_id,
       CASE WHEN coalesce(pinned, false) THEN status WHEN n.record_id IS NOT NULL THEN 'selected' ELSE 'undecided' END AS status, coalesce(pinned, false) AS pinned FROM bk FULL JOIN n ON n.record_id = bk.record_id""",
-    "content_hash": r"SELECT count(*) AS rows, sum(('0x' || substr(md5(concat_ws('|', p_partkey::VARCHAR, coalesce(p_name, '\N'), coalesce(p_brand, '\N'), coalesce(p_type, '\N'), coalesce(p_size::VARCHAR, '\N'))), 1, 8))::BIGINT)::BIGINT AS content FROM part",
+    "content_hash": r"SELECT count(*) AS rows, sum(('0x' || substr(m, 1, 8))::BIGINT)::BIGINT AS content, sum(('0x' || substr(m, 9, 8))::BIGINT)::BIGINT AS content2, sum(('0x' || substr(m, 17, 8))::BIGINT)::BIGINT AS content3 FROM (SELECT md5(concat_ws('|', p_partkey::VARCHAR, coalesce(p_name, '\N'), coalesce(p_brand, '\N'), coalesce(p_type, '\N'), coalesce(p_size::VARCHAR, '\N'))) AS m FROM part)",
 }

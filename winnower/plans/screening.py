@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnower.functions.columns import percent_rank, shortest_rank, without_nan
+from winnower.functions.columns import shortest_rank, with_percentile, with_rank, without_nan
 from winnower.operators import decisions, rules, selection
 from winnower.operators.decisions import Alert, Policy
 from winnower.operators.expressions import compile_expression
@@ -125,11 +125,11 @@ s AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE * pass_frac
 
 
 def score_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return records(spark, sf).select("record_id", shortest_rank("size").alias("rank"), shortest_rank("size", ["brand"], False).alias("brand_rank"))
+    return with_rank(records(spark, sf), "size", "rank").select("record_id", "rank", shortest_rank("size", ["brand"], False).alias("brand_rank"))
 
 
 def score_percentile(spark: SparkSession, sf: str) -> DataFrame:
-    return records(spark, sf).select("record_id", percent_rank("size").alias("pct"))
+    return with_percentile(records(spark, sf), "size", "pct").select("record_id", "pct")
 
 
 def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
