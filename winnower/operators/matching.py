@@ -9,6 +9,11 @@ from pyspark.sql.window import Window
 from winnower.functions.columns import tanimoto
 
 
+def _hashes(key: str) -> list[Column]:
+    """128 bits that stand for a text key: what is shuffled and sorted instead of the text."""
+    return [F.xxhash64(F.col(key)).alias("_h1"), F.xxhash64(F.lit(1), F.col(key)).alias("_h2")]
+
+
 def first_occurrence(df: DataFrame, key: str, record_id: str = "record_id") -> DataFrame:
     """Add ``duplicate_of``: the least record with the same key, NULL for that record itself and for missing or empty keys.
 
@@ -16,27 +21,30 @@ def first_occurrence(df: DataFrame, key: str, record_id: str = "record_id") -> D
     the join can be split where it is skewed.
     """
     keyed = df.where(F.col(key).isNotNull() & (F.col(key) != ""))
-    least = keyed.groupBy(F.col(key).alias("_key")).agg(F.min(record_id).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    out = df.join(least, F.col(key) == F.col("_key"), "left")
-    return out.withColumn("duplicate_of", F.when(F.col("_first") != F.col(record_id), F.col("_first"))).drop("_key", "_first", "_n")
+    least = keyed.groupBy(*_hashes(key)).agg(F.min(record_id).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    a, b = _hashes(key)
+    out = df.withColumns({"_k1": F.when(F.col(key) != "", a), "_k2": b}).join(least, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")), "left")
+    return out.withColumn("duplicate_of", F.when(F.col("_first") != F.col(record_id), F.col("_first"))).drop("_k1", "_k2", "_h1", "_h2", "_first", "_n")
 
 
 def duplicate_groups(df: DataFrame, key: str, record_id: str = "record_id") -> DataFrame:
     """``key, n, first_record`` of keys with more than one record."""
     keyed = df.where(F.col(key).isNotNull() & (F.col(key) != ""))
-    return keyed.groupBy(key).agg(F.count("*").alias("n"), F.min(record_id).alias("first_record")).where("n > 1")
+    found = keyed.groupBy(*_hashes(key)).agg(F.count("*").alias("n"), F.min(record_id).alias("first_record")).where("n > 1")
+    names = df.select(F.col(record_id).alias("first_record"), key)
+    return found.select("n", "first_record").join(names, "first_record").select(key, "n", "first_record")
 
 
 def exact_overlap(candidates: DataFrame, references: DataFrame, keys: list[str], candidate_id: str, reference_id: str) -> DataFrame:
     """A row per candidate, reference and key on which they agree: ``key_type``; blank keys never match.
 
-    One equi join per key, united: an OR in the join condition would compare all pairs.
+    One equi join per key on 128 bits of it, united: an OR in the join condition would compare all pairs.
     """
     parts = []
     for key in keys:
-        a = candidates.where(F.col(key).isNotNull() & (F.trim(key) != "")).select(candidate_id, F.col(key).alias("_k"))
-        b = references.where(F.col(key).isNotNull() & (F.trim(key) != "")).select(reference_id, F.col(key).alias("_k"))
-        parts.append(a.join(b, "_k").select(candidate_id, reference_id, F.lit(key).alias("key_type")))
+        a = candidates.where(F.col(key).isNotNull() & (F.trim(key) != "")).select(candidate_id, *_hashes(key))
+        b = references.where(F.col(key).isNotNull() & (F.trim(key) != "")).select(reference_id, *_hashes(key))
+        parts.append(a.join(b, ["_h1", "_h2"]).select(candidate_id, reference_id, F.lit(key).alias("key_type")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -92,14 +100,38 @@ def similarity_window(pairs: DataFrame, low: float = 0.4, high: float = 0.8) ->
     return nearest(pairs).where(F.col("similarity").between(low, high))
 
 
-def context(queries: DataFrame, references: DataFrame, ident: str, group: str, label: str, words: str = "words", k: int = 5, n_words: int = 2) -> DataFrame:
+def in_blocks(references: DataFrame, ident: str, most: int = 200_000) -> list[DataFrame]:
+    """The references in parts of about ``most`` rows, each small enough to broadcast: one part if there are no more than that."""
+    n = references.count()
+    parts = max(1, -(-n // most))
+    return [references] if parts == 1 else [references.where(F.pmod(F.xxhash64(ident), F.lit(parts)) == k) for k in range(parts)]
+
+
+def context(queries: DataFrame, references: DataFrame, ident: str, group: str, label: str, words: str = "words", k: int = 5, n_words: int = 2, block_rows: int = 200_000) -> DataFrame:
     """Per query against labelled references of other groups: best and mean top-k similarity by class, novelty, density.
 
-    A query never sees references of its own group.
+    A query never sees references of its own group.  References are broadcast in blocks; of each block only the k best of each class
+    go on.
     """
+    best = None
+    for block in in_blocks(references, ident, block_rows):
+        part = _best_of_class(queries, block, ident, group, label, words, k, n_words)
+        best = part if best is None else best.unionByName(part)
+    return _context_of(best, k)
+
+
+def _best_of_class(queries: DataFrame, references: DataFrame, ident: str, group: str, label: str, words: str, k: int, n_words: int) -> DataFrame:
+    """The k most similar references of each query and class, and of any class."""
     q = queries.select(F.col(ident).alias("a_id"), F.col(words).alias("a_w"), F.col(group).alias("a_g"))
     r = references.select(F.col(ident).alias("b_id"), F.col(words).alias("b_w"), F.col(group).alias("b_g"), F.col(label).alias("y"))
     pairs = q.join(F.broadcast(r), F.col("a_g") != F.col("b_g")).select("a_id", "b_id", "y", tanimoto(F.col("a_w"), F.col("b_w"), n_words).alias("s"))
+    by_class = Window.partitionBy("a_id", "y").orderBy(F.desc("s"), "b_id")
+    over_all = Window.partitionBy("a_id").orderBy(F.desc("s"), "b_id")
+    ranked = pairs.withColumns({"rc": F.row_number().over(by_class), "ra": F.row_number().over(over_all)})
+    return ranked.where((F.col("rc") <= k) | (F.col("ra") <= k)).select("a_id", "b_id", "y", "s")
+
+
+def _context_of(pairs: DataFrame, k: int) -> DataFrame:
     by_class = Window.partitionBy("a_id", "y").orderBy(F.desc("s"), "b_id")
     over_all = Window.partitionBy("a_id").orderBy(F.desc("s"), "b_id")
     ranked = pairs.withColumns({"rc": F.row_number().over(by_class), "ra": F.row_number().over(over_all)})
@@ -120,11 +152,15 @@ def mean_pairwise(df: DataFrame, ident: str, words: str = "words", most: int = 2
 
 
 def out_of_fold(queries: DataFrame, references: DataFrame, fold: str, ident: str, words: str = "words", n_words: int = 2) -> DataFrame:
-    """Best similarity of each query to references of other folds: ``a_id, best_other_fold``."""
+    """Best similarity of each query to references of other folds: ``a_id, best_other_fold``; references are broadcast in blocks."""
     q = queries.select(F.col(ident).alias("a_id"), F.col(words).alias("a_w"), F.col(fold).alias("a_f"))
-    r = references.select(F.col(words).alias("b_w"), F.col(fold).alias("b_f"))
-    pairs = q.join(F.broadcast(r), F.col("a_f") != F.col("b_f"))
-    return pairs.groupBy("a_id").agg(F.max(tanimoto(F.col("a_w"), F.col("b_w"), n_words)).alias("best_other_fold"))
+    best = None
+    for block in in_blocks(references, ident):
+        r = block.select(F.col(words).alias("b_w"), F.col(fold).alias("b_f"))
+        pairs = q.join(F.broadcast(r), F.col("a_f") != F.col("b_f"))
+        part = pairs.groupBy("a_id").agg(F.max(tanimoto(F.col("a_w"), F.col("b_w"), n_words)).alias("best_other_fold"))
+        best = part if best is None else best.unionByName(part).groupBy("a_id").agg(F.max("best_other_fold").alias("best_other_fold"))
+    return best
 
 
 def hash_fold(group: Column, folds: int) -> Column:

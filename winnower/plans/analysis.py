@@ -18,7 +18,7 @@ KEY = r"lower(regexp_replace(trim(text), '\s+', ' ', 'g'))"
 
 def _keyed(spark: SparkSession, sf: str, table: str, ident: str) -> DataFrame:
     t = spark.read.parquet(f"{sf}/{table}.parquet").select(ident, "text")
-    return t.withColumn("canonical", F.lower(F.regexp_replace(F.trim("text"), r"\s+", " "))).withColumn("opening", F.lower(F.substring("text", 1, 24)))
+    return t.withColumn("canonical", F.lower(F.regexp_replace(F.trim("text"), r"\s+", " "))).withColumn("letters", F.regexp_replace(F.lower("text"), "[^a-z]+", ""))
 
 
 def dedup_first(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,7 +31,7 @@ def dedup_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def overlap_multi_key(spark: SparkSession, sf: str) -> DataFrame:
     docs = _keyed(spark, sf, "documents", "doc_id")
-    return matching.exact_overlap(docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0").withColumnRenamed("doc_id", "ref_id"), ["canonical", "opening"], "doc_id", "ref_id")
+    return matching.exact_overlap(docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0").withColumnRenamed("doc_id", "ref_id"), ["canonical", "letters"], "doc_id", "ref_id")
 
 
 def overlap_flags(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,9 +39,9 @@ def overlap_flags(spark: SparkSession, sf: str) -> DataFrame:
     return matching.overlap_flags(docs.where("doc_id % 5 <> 0").select("doc_id"), overlap_multi_key(spark, sf), "doc_id", "ref_id")
 
 
-_OVERLAP = f"""k AS (SELECT doc_id, {KEY} AS canonical, lower(substr(text, 1, 24)) AS opening FROM documents),
+_OVERLAP = f"""k AS (SELECT doc_id, {KEY} AS canonical, regexp_replace(lower(text), '[^a-z]+', '', 'g') AS letters FROM documents),
 o AS (SELECT a.doc_id, b.doc_id AS ref_id, 'canonical' AS key_type FROM k a JOIN k b USING (canonical) WHERE a.doc_id % 5 <> 0 AND b.doc_id % 5 = 0 AND trim(canonical) <> ''
-  UNION ALL SELECT a.doc_id, b.doc_id, 'opening' FROM k a JOIN k b USING (opening) WHERE a.doc_id % 5 <> 0 AND b.doc_id % 5 = 0 AND trim(opening) <> '')"""
+  UNION ALL SELECT a.doc_id, b.doc_id, 'letters' FROM k a JOIN k b USING (letters) WHERE a.doc_id % 5 <> 0 AND b.doc_id % 5 = 0 AND trim(letters) <> '')"""
 
 # ---- fingerprints: signs of the embedding
 

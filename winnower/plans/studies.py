@@ -80,7 +80,7 @@ def zone_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entropy_weights(spark: SparkSession, sf: str) -> DataFrame:
-    grid = S.entropy_grid([0, 1, 2, 3, 4], 4, spark)
+    grid = S.entropy_grid([0, 1, 2, 3, 4], 8, spark)
     return grid.orderBy(F.desc(F.round("entropy", 9)), "id").limit(100).agg(F.avg("entropy").alias("mean_entropy"), F.max("entropy").alias("best"))
 
 
@@ -161,7 +161,7 @@ ORACLE = {
     "descriptor_histogram": f"WITH {REC}, e AS (SELECT min(price) AS lo, max(price) AS hi FROM rec) SELECT least(floor((price - lo) / ((hi - lo) / 25)), 24)::INT AS bin, count(*) AS n, count(*) FILTER (size > 25) AS chosen FROM rec, e GROUP BY 1",
     "zone_statistics": f"""WITH {REC}, z AS (SELECT record_id, 'cheap' AS zone_id FROM rec WHERE price < 930 UNION ALL SELECT record_id, 'large' FROM rec WHERE size > 30 UNION ALL SELECT record_id, 'small' FROM rec WHERE size <= 20),
       c AS (SELECT zone_id, count(*) OVER (PARTITION BY record_id) AS k FROM z) SELECT zone_id, count(*) AS size, count(*) FILTER (k > 1) AS shared FROM c GROUP BY zone_id""",
-    "entropy_weights": """WITH g AS (SELECT range AS id, list_transform([0, 1, 2, 3], lambda i: ((range // (5 ** i)::BIGINT) % 5)::DOUBLE) AS w FROM range(1, 625)), p AS (SELECT id, list_transform(w, lambda x: x / list_sum(w)) AS p FROM g),
+    "entropy_weights": """WITH g AS (SELECT range AS id, list_transform(range(8), lambda i: ((t.range // (5 ** i)::BIGINT) % 5)::DOUBLE) AS w FROM range(1, 390625) t), p AS (SELECT id, list_transform(w, lambda x: x / list_sum(w)) AS p FROM g),
       h AS (SELECT id, list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN -x * ln(x) ELSE 0 END)) AS entropy FROM p), t AS (SELECT * FROM h ORDER BY round(entropy, 9) DESC, id LIMIT 100) SELECT avg(entropy) AS mean_entropy, max(entropy) AS best FROM t""",
     "dominance_warning": f"WITH {REC}, g AS (SELECT kind, count(*) AS n, count(*) / sum(count(*)) OVER ()::DOUBLE AS share FROM rec WHERE price > 950 AND kind IS NOT NULL GROUP BY kind) SELECT * FROM g WHERE share >= 0.16",
     "pattern_gate": "SELECT doc_id, regexp_matches(text, 'the') AND regexp_matches(text, 'and') AND NOT regexp_matches(text, '[#$%&*]{3}') AS ok, regexp_matches(text, 'License') OR regexp_matches(text, 'ing ') AS liked FROM documents",
