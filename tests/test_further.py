@@ -241,3 +241,31 @@ def test_reports_on_outcomes(spark):
     assert final.count() == 2 and reserve.count() == 1
     joined = reports.session_export(out, spark.createDataFrame([(1, 9.0, "C")], "record_id long, score double, smiles string"))
     assert joined.columns.count("score") == 1 and joined.where("smiles = 'C'").count() == 1
+
+
+def test_sealed_decisions_are_replayed(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i)) for i in range(9)], "record_id long, s double")
+    run = lambda d, settings: d.orderBy(F.desc("s")).limit(settings["n"])
+    folder = str(tmp_path / "sealed")
+    stages.seal(folder, df, {"n": 3}, run)
+    assert stages.verify(spark, folder, run).count() == 3
+    with pytest.raises(ValueError, match="reproduced"):
+        stages.verify(spark, folder, lambda d, s: d.orderBy("s").limit(3))
+    df.limit(2).write.mode("overwrite").parquet(f"{folder}/decision")
+    with pytest.raises(ValueError, match="changed"):
+        stages.verify(spark, folder, run)
+
+
+def test_thresholds_hold_for_their_scope_only():
+    from winnower.operators.tolerance import calibration_fits
+
+    fitted = {"criteria": ["a", "b"], "contexts": [{"t": 1}, {"t": 2}]}
+    assert calibration_fits(fitted, {"criteria": ["b", "a"], "contexts": [{"t": 2}, {"t": 1}]})
+    assert not calibration_fits(fitted, {"criteria": ["a"], "contexts": fitted["contexts"]})
+    assert not calibration_fits(fitted, {"criteria": ["a", "b"], "contexts": [{"t": 1}]})
+
+
+def test_splits_need_dates(spark):
+    df = spark.createDataFrame([(1, "a", None)], "i long, g string, d date")
+    with pytest.raises(ValueError, match="date"):
+        trials.assign_splits(df, "g", date="d")

@@ -140,3 +140,61 @@ def rescue(df: DataFrame, base: str, score: str, supported: str, fraction: float
     rows = df.where(~F.col(base) & closed(F.col(supported)) & F.col(score).isNotNull())
     ranked = spread_ranked(rows, [F.asc(score), F.sha2(F.col(ident).cast("string"), 256).asc(), F.asc(ident)], "rescue_rank").crossJoin(F.broadcast(budget))
     return ranked.where(F.col("rescue_rank") <= F.col("_b")).drop("_b")
+
+
+# ---- a tolerance profile: fitted on references that break rules, applied to candidates
+
+
+def exact_positives(measurements: DataFrame, identity: str, task: str, value: str, relation: str, threshold: float = 6.5) -> DataFrame:
+    """Identities with an exact value at or above the threshold in a task whose exact values all agree: ``identity, task``."""
+    known = measurements.where((F.trim(relation) == "=") & F.col(value).isNotNull())
+    ends = known.groupBy(identity, task).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    return ends.where((F.col("_lo") >= threshold) & (F.col("_hi") >= threshold)).select(identity, task)
+
+
+def fit_profile(failed: DataFrame, identity: str, scaffold: str, document: str, weight: str) -> tuple[DataFrame, DataFrame]:
+    """(``criterion, x, cdf``, support per criterion) of the references' failed criteria: rows ``criterion, magnitude`` with who stands
+    behind them."""
+    curves = weighted_ecdf(failed, "magnitude", weight, ["criterion"])
+    return curves, support(failed, ["criterion"], identity, scaffold, document)
+
+
+def predict_profile(annotated: DataFrame, curves: DataFrame, supports: DataFrame, threshold: float, record_id: str = "record_id") -> DataFrame:
+    """``record_id, score, supported, state`` of candidates from their criteria (``criterion, violation, magnitude``).
+
+    Nothing failed and nothing unknown is base_eligible; an unknown criterion, or a failed one without support, is for review; else
+    the worst shrunk percentile against the threshold decides.  Criteria that no reference fails have percentile 0 and no support.
+    """
+    failed = annotated.where(closed(F.col("violation"))).select(record_id, "criterion", "magnitude")
+    keyed = failed.withColumn("_i", F.xxhash64(record_id, "criterion"))
+    placed = ecdf_lookup(keyed, curves, "magnitude", "_i", ["criterion"]).select("_i", "cdf")
+    rows = keyed.join(placed, "_i", "left").join(F.broadcast(supports.select("criterion", "identities", "supported")), "criterion", "left")
+    n = F.coalesce("identities", F.lit(0)).cast("double")
+    rows = rows.select(record_id, shrunk(F.coalesce("cdf", F.lit(0.0)), n).alias("_s"), closed(F.col("supported")).alias("_ok"))
+    worst = rows.groupBy(record_id).agg(F.max("_s").alias("score"), F.min("_ok").alias("supported"))
+    every = annotated.groupBy(record_id).agg(F.max(F.col("violation").isNull()).alias("_unknown"))
+    out = every.join(worst, record_id, "left")
+    base = F.col("score").isNull() & ~F.col("_unknown")
+    return out.select(record_id, "score", F.coalesce("supported", F.lit(False)).alias("supported"),
+                      state(base, closed(F.col("supported")) & ~F.col("_unknown"), F.col("score"), threshold).alias("state"))
+
+
+def calibration_fits(fitted: dict, asked: dict) -> bool:
+    """Whether a calibrated threshold may be used: the same criteria and the same contexts, whatever their order."""
+    return set(fitted["criteria"]) == set(asked["criteria"]) and sorted(map(str, fitted["contexts"])) == sorted(map(str, asked["contexts"]))
+
+
+# ---- desirability functions
+
+
+def double_sigmoid(x: Column, a: float, b: float, c: float, d: float, e: float, f: float, most: float) -> Column:
+    """Asymmetric double sigmoid over its greatest value, as in the published drug-likeness estimate, in (0, 1]."""
+    rise = 1 / (1 + F.exp(-(x - F.lit(c) + F.lit(d / 2)) / F.lit(e)))
+    fall = 1 - 1 / (1 + F.exp(-(x - F.lit(c) - F.lit(d / 2)) / F.lit(f)))
+    return clip((F.lit(a) + F.lit(b) * rise * fall) / F.lit(most), 1e-9, 1.0)
+
+
+def likeness(parameters: dict[str, tuple[float, ...]]) -> Column:
+    """Geometric mean of the columns' desirabilities; NULL where a column is missing."""
+    logs = [F.ln(double_sigmoid(F.col(c).cast("double"), *p)) for c, p in parameters.items()]
+    return F.exp(sum(logs[1:], logs[0]) / len(logs))

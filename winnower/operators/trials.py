@@ -171,3 +171,26 @@ def run_benchmark(df: DataFrame, strategies: dict[str, Callable[[DataFrame], Dat
         own = select(df).select(F.lit(name).alias("run"), ident)
         runs = own if runs is None else runs.unionByName(own)
     return overlap_with(runs, baseline, "run", ident)
+
+
+def assign_splits(df: DataFrame, group: str, seed: int = 42, shares: tuple[tuple[str, float], ...] = (("train", 0.7), ("validation", 0.8), ("calibration", 0.9), ("test", 1.0)), date: str | None = None) -> DataFrame:
+    """Adds ``split``: whole groups in hash order, or by the latest ``date`` of the group, cut at the shares of groups.
+
+    Groups of one date are never divided: they go where the first of them goes.  Positions come from range partitions.
+    """
+    from winnower.functions.columns import spread_ranked
+
+    if date is None:
+        groups = df.select(group).distinct().withColumn("_k", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")), 256))
+    else:
+        if not df.where(F.col(date).isNull()).isEmpty():
+            raise ValueError("a split by time needs a date in every row")
+        groups = df.groupBy(group).agg(F.max(date).alias("_k"))
+    cells = spread_ranked(groups.groupBy("_k").agg(F.count("*").alias("_c")), [F.asc("_k")], "_p", {"_c": "_run"})
+    total = cells.agg(F.sum("_c").alias("_n"))
+    at = (F.col("_run") - F.col("_c")) / F.col("_n")
+    split = None
+    for name, upto in shares:
+        split = F.when(at < upto, name) if split is None else split.when(at < upto, name)
+    cells = cells.crossJoin(F.broadcast(total)).select("_k", split.alias("split"))
+    return df.join(groups.join(cells, "_k").select(group, "split"), group)

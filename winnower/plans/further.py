@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnower.functions.columns import sign_words
-from winnower.operators import decisions, evidence, joining, preparing, reports, rules, selection, trials
+from winnower.operators import decisions, evidence, joining, preparing, reports, rules, selection, tolerance, trials
 from winnower.operators.decisions import Alert, Policy
 from winnower.operators.evidence import Action
 from winnower.plans.screening import FIT, MID, PREMIUM, PROFILES, REC, STATUS, records
@@ -244,6 +244,35 @@ def strategy_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     return trials.run_benchmark(records(spark, sf), {"price": by_price, "spread": spread, "chance": chance}, "record_id", "price")
 
 
+def tolerance_predict(spark: SparkSession, sf: str) -> DataFrame:
+    r = records(spark, sf)
+    m = evidence.magnitudes(r, [FIT, MID]).join(r.select("record_id", "kind", "brand", "price"), "record_id")
+    refs = m.where("record_id % 2 = 1 and price > 910 and violation").withColumn("w", F.lit(1.0))
+    curves, supports = tolerance.fit_profile(refs, "record_id", "kind", "brand", "w")
+    return tolerance.predict_profile(m.where("record_id % 2 = 0"), curves, supports, 0.85)
+
+
+def exact_positives(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("relation", F.when(F.col("event_id") % 5 != 0, "=").otherwise(">"))
+    return tolerance.exact_positives(e, "user_id", "event_type", "value", "relation", 20.0)
+
+
+_SIGMOIDS = {"size": (0.1, 2.0, 25.0, 10.0, 3.0, 5.0, 1.9), "price": (0.05, 1.5, 950.0, 40.0, 12.0, 9.0, 1.4)}
+
+
+def likeness(spark: SparkSession, sf: str) -> DataFrame:
+    return records(spark, sf).select("record_id", tolerance.likeness(_SIGMOIDS).alias("likeness"))
+
+
+def group_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return trials.assign_splits(_customers(spark, sf).select("c_custkey", "c_nationkey"), "c_nationkey").select("c_custkey", "split")
+
+
+def dated_splits(spark: SparkSession, sf: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    return trials.assign_splits(o, "o_custkey", date="day").select("o_orderkey", "split")
+
+
 # ---- reports
 
 
@@ -315,6 +344,7 @@ QUERIES = {
         validated_join, score_join, analysis_join, context_mask, compatible_pool, joint_pattern, property_deltas, rule_evidence, profile_states, contextual_policy, rule_magnitudes,
         failed_criteria, alert_id_sets, support_gate, scaled_features, robust_scales, tree_scores, cross_fitted_rates, density_bins, nearest_other, domain_threshold, hex_fingerprints,
         record_status, hash_roles, collapsed_pairs, conflicting_pairs, masked_labels, retention_metrics, activity_recovery, equal_capacity, arm_grid, paired_arms, strategy_benchmark,
+        tolerance_predict, exact_positives, likeness, group_splits, dated_splits,
         report_summary, report_excluded, report_matrix, report_failed_profile, report_config, report_consequences, display_layer, constrained_selection, coverage_selection,
         priority_selection,
     )
@@ -377,6 +407,10 @@ cov AS (SELECT record_id FROM r WHERE r = 1 AND NOT pin AND g NOT IN (SELECT g F
 k AS (SELECT *, CASE WHEN pin THEN 0 WHEN record_id IN (FROM cov) THEN 1 ELSE 2 END AS tier, pin OR g IS NULL OR r <= 2 AS fits FROM r),
 p AS (SELECT record_id, row_number() OVER (ORDER BY tier, CASE WHEN pin THEN record_id END, {o}) AS position FROM k WHERE fits)"""
 
+_CUT = "CASE WHEN x < 0.7 THEN 'train' WHEN x < 0.8 THEN 'validation' WHEN x < 0.9 THEN 'calibration' ELSE 'test' END"
+_ADS = "({0} + {1} * (1 / (1 + exp(-({v} - {2} + {3} / 2) / {4}))) * (1 - 1 / (1 + exp(-({v} - {2} - {3} / 2) / {5})))) / {6}"
+_LIKE = f"k AS (SELECT record_id, {_ADS.format(*_SIGMOIDS['size'], v='size')} AS s, {_ADS.format(*_SIGMOIDS['price'], v='price')} AS p FROM rec)"
+
 ORACLE = {
     "validated_join": "SELECT c_custkey, c_mktsegment, orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1) ON o_custkey = c_custkey",
     "score_join": """SELECT c_custkey, prediction, events FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS prediction FROM orders GROUP BY 1) ON o_custkey = c_custkey
@@ -468,4 +502,16 @@ ORACLE = {
       SELECT record_id, position, CASE tier WHEN 1 THEN 'covers a group' ELSE 'strategy order' END AS reason FROM p WHERE position <= 35""",
     "priority_selection": f"""WITH {_SEL}, e AS (SELECT * FROM c WHERE record_id % 3 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY crowding_distance DESC, record_id) AS r FROM e),
       p AS (SELECT record_id, row_number() OVER (ORDER BY crowding_distance DESC, record_id) AS position FROM r WHERE g IS NULL OR r = 1) SELECT * FROM p WHERE position <= 30""",
+    "tolerance_predict": f"""WITH {STATUS}, m AS ({_MAGNITUDES}), x AS (SELECT m.*, kind, brand, price FROM m JOIN rec USING (record_id)), ref AS (SELECT * FROM x WHERE record_id % 2 = 1 AND price > 910 AND violation),
+      s AS (SELECT criterion, count(DISTINCT record_id) AS n, count(*) AS t, count(DISTINCT record_id) >= 20 AND count(DISTINCT CASE WHEN trim(kind) <> '' THEN kind END) >= 5 AND count(DISTINCT brand) >= 3 AS ok FROM ref GROUP BY criterion),
+      c AS (SELECT x.record_id, coalesce(s.n, 0) AS n, coalesce(s.ok, false) AS ok, coalesce((SELECT count(*) FROM ref WHERE ref.criterion = x.criterion AND ref.magnitude <= x.magnitude) / s.t, 0) AS cdf FROM x LEFT JOIN s USING (criterion) WHERE x.record_id % 2 = 0 AND violation),
+      w AS (SELECT record_id, max(n / (n + 64.0) * cdf + (1 - n / (n + 64.0))) AS score, bool_and(ok) AS supported FROM c GROUP BY record_id),
+      a AS (SELECT record_id, bool_or(violation IS NULL) AS unknown FROM x WHERE record_id % 2 = 0 GROUP BY record_id)
+      SELECT record_id, score, coalesce(supported, false) AS supported, CASE WHEN score IS NULL AND NOT unknown THEN 'base_eligible' WHEN NOT (coalesce(supported, false) AND NOT unknown) THEN 'review' WHEN score <= 0.85 THEN 'supported_relaxation' ELSE 'excluded' END AS state
+      FROM a LEFT JOIN w USING (record_id)""",
+    "exact_positives": "SELECT user_id, event_type FROM events WHERE event_id % 5 <> 0 AND value IS NOT NULL GROUP BY ALL HAVING min(value) >= 20",
+    "likeness": f"WITH {REC}, {_LIKE} SELECT record_id, CASE WHEN s IS NOT NULL THEN exp((ln(greatest(1e-9, least(1, s))) + ln(greatest(1e-9, least(1, p)))) / 2) END AS likeness FROM k",
+    "group_splits": f"""WITH g AS (SELECT n, (row_number() OVER (ORDER BY sha256('42:' || n::VARCHAR)) - 1) / count(*) OVER () AS x FROM (SELECT DISTINCT c_nationkey AS n FROM customer))
+      SELECT c_custkey, {_CUT} AS split FROM customer JOIN g ON n = c_nationkey""",
+    "dated_splits": f"""WITH g AS (SELECT o_custkey AS c, max(o_orderdate::DATE) AS d FROM orders GROUP BY 1), h AS (SELECT c, (rank() OVER (ORDER BY d) - 1) / count(*) OVER () AS x FROM g) SELECT o_orderkey, {_CUT} AS split FROM orders JOIN h ON c = o_custkey""",
 }

@@ -183,3 +183,27 @@ def restore_session(spark: SparkSession, folder: str) -> tuple[dict[str, DataFra
     if changed:
         raise ValueError(f"changed since they were saved: {changed}")
     return tables, about["settings"]
+
+
+# ---- sealed decisions
+
+
+def seal(folder: str, snapshot: DataFrame, settings: dict[str, Any], run: Callable[[DataFrame, dict[str, Any]], DataFrame]) -> dict[str, Any]:
+    """A proposal that can't be changed unnoticed: the rows decided on, the settings, the decision, and their digests."""
+    spark = snapshot.sparkSession
+    publish(snapshot, f"{folder}/snapshot")
+    publish(run(spark.read.parquet(f"{folder}/snapshot"), settings), f"{folder}/decision")
+    about = {"settings": settings, "snapshot": table_digest(spark.read.parquet(f"{folder}/snapshot")), "decision": table_digest(spark.read.parquet(f"{folder}/decision"))}
+    save_artefact(spark, f"{folder}/_seal", "proposal", about)
+    return about
+
+
+def verify(spark: SparkSession, folder: str, run: Callable[[DataFrame, dict[str, Any]], DataFrame]) -> DataFrame:
+    """The sealed decision; an error unless rows and decision are those sealed and running it again gives the same."""
+    about = load_artefact(spark, f"{folder}/_seal", "proposal")
+    snapshot, decision = spark.read.parquet(f"{folder}/snapshot"), spark.read.parquet(f"{folder}/decision")
+    if table_digest(snapshot) != about["snapshot"] or table_digest(decision) != about["decision"]:
+        raise ValueError("the proposal was changed")
+    if table_digest(run(snapshot, about["settings"]).select(*decision.columns)) != about["decision"]:
+        raise ValueError("the proposal can't be reproduced")
+    return decision
