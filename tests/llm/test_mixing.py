@@ -80,3 +80,11 @@ def test_draws_meet_totals_and_vary():
 
 def test_query(spark, sf):
     check(QUERIES["op3_mixing"](spark, sf).collect(), spark.read.parquet(f"{sf}/documents.parquet").collect(), 2 * mixing.BLOCK)
+
+
+def test_null_and_repeated_ids_are_taken_too(spark):
+    rows = [(None, "a b c " * 40, "s"), (None, "d e " * 50, "s"), (7, "x y z " * 30, "t"), (7, "x y z " * 30, "t"), (7, "other words " * 20, "t"), (None, "a b c " * 40, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check(mixing.taken(docs).collect(), docs.collect(), 2 * mixing.BLOCK)
+    want = sum(r["taken"] for r in mixing.taken(docs).collect())
+    assert sum(size(r["text"]) for r in mixing.mixed_texts(docs).collect()) == want

@@ -30,3 +30,11 @@ def test_a_slow_clock_changes_nothing(monkeypatch):
     got = [packing.bin_completion(c, 100) for c in cases]
     assert max(f.nodes for f in want) > 1
     assert [(f.patterns, f.nodes) for f in got] == [(f.patterns, f.nodes) for f in want]
+
+
+def test_a_wider_search_finds_what_a_narrow_one_misses():
+    lengths = [10, 12, 14, 15, 18, 19, 21, 22, 22, 23, 23, 24, 24, 26]
+    counts = {n: lengths.count(n) for n in lengths}
+    found = packing.bin_completion(counts, 56)
+    assert found.sequences == 5 and found.proven
+    assert sum(len(p) * n for p, n in found.patterns) == len(lengths)

@@ -176,8 +176,23 @@ class Search:
     trail: list[int] = field(default_factory=list)
 
 
-def bin_completion(counts: dict[int, int], capacity: int, node_limit: int = 6000, width: int = 3) -> Search:
-    """Pack a histogram of lengths.
+def bin_completion(counts: dict[int, int], capacity: int, node_limit: int = 6000, widths: tuple[int, ...] = (3, 12, 48)) -> Search:
+    """Pack a histogram of lengths: searches that keep more and more fillings a node, until the bound is met or all have been made."""
+    best = _search(counts, capacity, node_limit, widths[0])
+    for width in widths[1:]:
+        if best.proven:
+            break
+        found = _search(counts, capacity, node_limit, width)
+        found.trail, found.nodes = best.trail + found.trail, best.nodes + found.nodes
+        if found.sequences < best.sequences:
+            best = found
+        else:
+            best.nodes, best.trail = found.nodes, found.trail
+    return best
+
+
+def _search(counts: dict[int, int], capacity: int, node_limit: int, width: int) -> Search:
+    """One search over a histogram of lengths.
 
     At a node the largest length left is put into a sequence and the undominated fillings of the rest are its
     children, least waste first; a child is used for as many sequences as the counts allow at once.  A branch whose
