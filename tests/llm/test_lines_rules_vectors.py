@@ -139,7 +139,7 @@ def test_votes_by_hand(spark):
     hashes = [r["h"] & ((1 << 64) - 1) for r in spark.createDataFrame([(w,) for w in text.split()], "w string").select(F.xxhash64("w").alias("h")).collect()]
     got = {r["part"]: r for r in line_dedup.voted_lines(rows).collect()}
     for part, own in ((0, range(64)), (1, range(64, 70))):
-        assert got[part]["n"] == len(own) and got[part]["long"]
+        assert got[part]["n"] == len(own) and got[part]["len"] == len(text)
         for k in range(8):
             assert got[part][f"b{k}"] == sum(((hashes[i] >> 3) & line_dedup.LANES) + line_dedup.VOTER for i in own if i % 9 and hashes[i] % 8 == k)
 
