@@ -335,7 +335,9 @@ def cross_pairs(table: DataFrame, shared: DataFrame, comps: DataFrame, chunk: in
     found = common.spool(rows.mapInArrow(run, "a long, b long, low long").distinct(), "cross")
     common.free_shuffles(table.sparkSession)
     nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    heads = table.where("ell > 0").select("node", "n", "prefix").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    # 31 bits of a token do to count what two prefixes share: a chance hit can only let a pair on to the exact comparison
+    short = F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix")
+    heads = table.where("ell > 0").select("node", "n", short).join(nodes, "node", "left_semi").dropDuplicates(["node"])
     both = found.join(heads.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
     both = both.join(heads.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
     spare = F.col("low") - F.ceil(NUM * (F.col("na") + F.col("nb")) / (NUM + DEN))
@@ -347,7 +349,7 @@ def cross_pairs(table: DataFrame, shared: DataFrame, comps: DataFrame, chunk: in
 
 
 def node_sets(docs: DataFrame, pairs: DataFrame, rep: DataFrame, seed: int, broadcast_rows: int = 500_000) -> DataFrame:
-    """``node, shingles`` of the nodes in the given pairs, stored, from the text of one document each."""
+    """``node, shingles`` of the nodes in the given pairs, stored, from the text of one document each (repeated ids give others too)."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = rep.join(nodes, "node", "left_semi").select(F.col("rep").alias("_rep"))
     ids = common.spool(ids, "wanted")
@@ -365,8 +367,9 @@ def node_sets(docs: DataFrame, pairs: DataFrame, rep: DataFrame, seed: int, broa
                     [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["node", "shingles"]
                 )
 
-    found = common.spool(wanted.mapInArrow(run, "node long, shingles array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    found = common.spool(wanted.mapInArrow(run, "node long, shingles array<long>"), "sets")
     common.unspool(ids)
+    common.free_shuffles(docs.sparkSession)
     return found
 
 
