@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from winnower.functions import columns
 from winnower.operators import objectives
 from winnower.plans import catalogue
 
@@ -46,3 +47,16 @@ def test_evidence_of_all_events(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").join(users, F.col("user_id") == F.col("c_custkey"), "left_semi")
     got = QUERIES["evidence_lookup"](spark, sf)
     assert got.count() == users.count() and got.agg(F.sum("n")).first()[0] == events.count() > 0
+
+
+def test_ranks_hold_when_no_shuffle_is_shared(spark):
+    rows = spark.range(20000).select("id", F.pmod(F.xxhash64("id"), F.lit(1000003)).cast("double").alias("v"))
+    off = {"spark.sql.exchange.reuse": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for name, value in off.items():
+            spark.conf.set(name, value)
+        got = columns.with_rank(rows, "v", "r", descending=False).toPandas()
+    finally:
+        for name in off:
+            spark.conf.unset(name)
+    assert (got.r == got.v.rank(method="min")).all()

@@ -65,15 +65,25 @@ def percent_rank(value: str, by: list[str] | None = None) -> Column:
     return F.when(F.col(value).isNotNull(), (below + (ties - 1) / 2) / F.count(value).over(part))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows over one set of tasks: every plan made of the result reads the same partitions.
+
+    Range bounds come from a sample that differs from plan to plan, and Spark doesn't always share the shuffle of two branches
+    that look alike; a partition's number means the same rows in both only if they read one and the same shuffle.
+    """
+    rows = df._jdf.queryExecution().toRdd()
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), df.sparkSession)
+
+
 def spread_ranked(df: DataFrame, order: list[Column], name: str, sums: dict[str, str] | None = None) -> DataFrame:
     """Add the 1-based position of each row in a total order without one task sorting all rows; ``sums`` maps columns to the names of
     their running sums, the row's own value included.
 
-    Rows are range-partitioned by the order; positions and sums are those within a partition plus those of the partitions before, a
-    table with one row per partition.
+    Rows are range-partitioned by the order, once, when this is called; positions and sums are those within a partition plus those
+    of the partitions before, a table with one row per partition.
     """
     sums = sums or {}
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     own: WindowSpec = Window.partitionBy("_part").orderBy(*order)
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumns({"_at": F.row_number().over(own), **{f"_s_{out}": F.sum(c).over(upto) for c, out in sums.items()}})
