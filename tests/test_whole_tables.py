@@ -60,3 +60,42 @@ def test_ranks_hold_when_no_shuffle_is_shared(spark):
         for name in off:
             spark.conf.unset(name)
     assert (got.r == got.v.rank(method="min")).all()
+
+
+def _scores(spark, values):
+    k = values.shape[1]
+    rows = [(i, *v) for i, v in enumerate(values.tolist())]
+    return spark.createDataFrame(rows, "record_id long, " + ", ".join(f"d{j} double" for j in range(k)))
+
+
+def test_dominance_counts_equal_all_pairs(spark):
+    for k, block_rows in ((1, 50), (2, 40), (3, 30), (4, 30), (3, 1000)):
+        values = np.random.default_rng(k).integers(0, 7, (400, k)).astype(float)
+        over = (values[None] >= values[:, None]).all(2) & (values[None] > values[:, None]).any(2)
+        rows = objectives.dominance_counts(_scores(spark, values), k, block_rows=block_rows).collect()
+        assert {r[0]: (r[1], r[2]) for r in rows} == {i: (over[i].sum(), over[:, i].sum()) for i in range(400)}
+        front = {r[0] for r in objectives.first_front(_scores(spark, values), k).collect()}
+        assert front == set(np.flatnonzero(over.sum(1) == 0).tolist())
+
+
+def test_dominance_counts_make_no_pairs_of_rows():
+    n = 100_000  # five thousand million pairs: the kernel takes n log(n) steps
+    places = np.stack([np.arange(n), np.random.default_rng(1).permutation(n)], 1)
+    above, below = objectives.above_and_below(places, np.ones(n, np.int64))
+    assert above.sum() == below.sum() and above[places[:, 1].argmax()] == 0
+    some = np.arange(0, n, 9973)
+    assert [above[i] for i in some] == [(places > places[i]).all(1).sum() for i in some]
+
+
+def test_fronts_in_one_pass_equal_the_kernel(spark):
+    for k in (1, 2, 3):
+        values = np.random.default_rng(k).integers(0, 15, (500, k)).astype(float)
+        got = {r["record_id"]: r["pareto_rank"] for r in objectives.ranked_fronts(_scores(spark, values), k).collect()}
+        assert [got[i] for i in range(500)] == objectives.pareto_ranks(values).tolist()
+
+
+def test_outlines_place_many_rows():
+    rng = np.random.default_rng(2)
+    stairs = objectives.Stairs()
+    ranks = [stairs.place(x, y) for x, y in zip(rng.integers(0, 25, 100_000).tolist(), rng.random(100_000).tolist())]
+    assert max(ranks) == len(stairs.fronts) and sum(len(xs) for xs, _ in stairs.fronts) <= 25 * len(stairs.fronts)

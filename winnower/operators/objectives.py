@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from winnower.functions.columns import spread_ranked, with_percentile
+from winnower.functions.columns import settled, spread_ranked, with_percentile
 
 
 @dataclass(frozen=True)
@@ -46,27 +46,88 @@ def desirabilities(df: DataFrame, objectives: list[Objective], record_id: str =
     return raw.crossJoin(F.broadcast(least)).select(record_id, *(F.coalesce(f"d{k}", f"m{k}").alias(f"d{k}") for k in range(len(objectives))))
 
 
+def above_and_below(places: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the weight of the rows greater, and of those less, in every column of ``places``; no column repeats a value.
+
+    One column after the other is split at each bit of the rank: rows that agree above the bit are one group, the lower half
+    of it meets the upper.  The last column is a running sum.  Time n log(n) for each column but the first.
+    """
+    n = len(places)
+    rank = np.empty(places.shape, np.int64)
+    for j in range(places.shape[1]):
+        rank[np.argsort(places[:, j], kind="stable"), j] = np.arange(n)
+    above, below = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def meet(rows: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, j: int) -> None:
+        if j == rank.shape[1] - 1:
+            order = np.argsort(group * n + rank[rows, j])
+            rows, group, low, high = rows[order], group[order], low[order], high[order]
+            first, last = np.searchsorted(group, group), np.searchsorted(group, group, "right")
+            upto = np.concatenate([[0], np.cumsum(np.where(high, weight[rows], 0))])
+            at = np.flatnonzero(low)
+            above[rows[at]] += upto[last[at]] - upto[at + 1]
+            upto = np.concatenate([[0], np.cumsum(np.where(low, weight[rows], 0))])
+            at = np.flatnonzero(high)
+            below[rows[at]] += upto[at] - upto[first[at]]
+            return
+        for bit in range(max(1, (n - 1).bit_length())):
+            up = (rank[rows, j] >> bit & 1).astype(bool)
+            lo, hi = low & ~up, high & up
+            on = lo | hi
+            if on.any():
+                _, part = np.unique(group[on] * (n + 1) + (rank[rows[on], j] >> bit + 1), return_inverse=True)
+                meet(rows[on], part, lo[on], hi[on], j + 1)
+
+    if n:
+        meet(np.arange(n), np.zeros(n, np.int64), np.ones(n, bool), np.ones(n, bool), 0)
+    return above, below
+
+
+def _beyond(cells: np.ndarray) -> np.ndarray:
+    """Per cell of the grid the sum of the cells greater in every direction."""
+    out = cells
+    for axis in range(cells.ndim):
+        out = np.flip(np.cumsum(np.flip(out, axis), axis), axis)
+        out = np.concatenate([np.delete(out, 0, axis), np.zeros_like(np.take(out, [0], axis))], axis)
+    return out
+
+
 def dominance_counts(scores: DataFrame, k: int, record_id: str = "record_id", block_rows: int = 1000) -> DataFrame:
     """``domination_count`` (rows that dominate me) and ``dominated_count`` (rows I dominate).
 
-    Equal score vectors are one row with a weight first.  Rows are dealt to blocks of the first score; a row is sent to the
-    blocks that can dominate it, its own and those above, so the comparison is an equi join by block.
+    Equal score vectors are one row with a weight.  In the order of score i, ties by the scores that follow it in turn, whatever
+    dominates a row comes after it; a row dominates another if it comes after it in all k orders.  Each order is cut into blocks of
+    equal size.  Pairs that share no block are counted on the grid of blocks (at most 2^18 cells, on the driver); the others in
+    the first order whose block they share, where each block is a task's.  Time grows as n log(n)^(k-1).
     """
-    cols = [f"d{i}" for i in range(k)]
-    distinct = scores.groupBy(*cols).agg(F.count("*").alias("w"))
-    blocks = max(1, -(-distinct.count() // block_rows))
-    shares = F.array(*(F.lit(i / blocks) for i in range(1, blocks))).cast("array<double>")
-    edges = distinct.agg((F.percentile_approx("d0", shares) if blocks > 1 else F.array().cast("array<double>")).alias("_e"))
-    distinct = distinct.crossJoin(F.broadcast(edges)).withColumn("_block", F.size(F.filter("_e", lambda e: e <= F.col("d0")))).drop("_e")
-    a = distinct.select(*(F.col(c).alias(f"a{i}") for i, c in enumerate(cols)), F.col("w").alias("aw"), F.explode(F.sequence("_block", F.lit(blocks - 1))).alias("_block"))
-    b = distinct.select(*(F.col(c).alias(f"b{i}") for i, c in enumerate(cols)), F.col("w").alias("bw"), F.col("_block").alias("_own"))
-    at_least = reduce(lambda x, y: x & y, [F.col(f"b{i}") >= F.col(f"a{i}") for i in range(k)])
-    better = reduce(lambda x, y: x | y, [F.col(f"b{i}") > F.col(f"a{i}") for i in range(k)])
-    pairs = a.join(b, (F.col("_block") == F.col("_own")) & at_least & better)
-    up = pairs.groupBy(*(F.col(f"a{i}").alias(c) for i, c in enumerate(cols))).agg(F.sum("bw").alias("domination_count"))
-    down = pairs.groupBy(*(F.col(f"b{i}").alias(c) for i, c in enumerate(cols))).agg(F.sum("aw").alias("dominated_count"))
-    out = scores.join(up, cols, "left").join(down, cols, "left")
-    return out.select(record_id, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("domination_count", "dominated_count")))
+    cols, places = [f"d{i}" for i in range(k)], [f"_p{i}" for i in range(k)]
+    distinct = scores.groupBy(*cols).agg(F.count("*").alias("_w"))
+    for i, place in enumerate(places):
+        distinct = spread_ranked(distinct, [F.asc(c) for c in cols[i:] + cols[:i]], place)
+    n = distinct.count()
+    blocks = max(1, min(-(-n // block_rows), int(2 ** (18 / k))))
+    side = max(1, -(-n // blocks))
+    cell = [F.floor((F.col(p) - 1) / side).cast("int") for p in places]
+    grid = np.zeros((blocks,) * k, np.int64)
+    for r in distinct.groupBy(*(c.alias(f"_c{i}") for i, c in enumerate(cell))).agg(F.sum("_w").alias("_w")).collect():
+        grid[tuple(r[:k])] = r[k]
+    tables = scores.sparkSession.sparkContext.broadcast((_beyond(grid), np.flip(_beyond(np.flip(grid)))))
+
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        i, at = int(key[0]), rows[places].to_numpy(np.int64) - 1
+        block, own = at // side, at.copy()
+        for j in range(i):  # in the orders before, only blocks beyond: within a block the order of this one is turned round
+            own[:, j] = block[:, j] * n + (n - 1 - at[:, i])
+        above, below = above_and_below(own, rows["_w"].to_numpy(np.int64))
+        if i == 0:
+            above, below = (own + table[tuple(block.T)] for own, table in zip((above, below), tables.value))
+        return rows[cols].assign(domination_count=above, dominated_count=below)
+
+    orders = range(k if blocks > 1 else 1)
+    dealt = distinct.withColumn("_to", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), cell[i].alias("block")) for i in orders))))
+    counted = dealt.groupBy("_to.i", "_to.block").applyInPandas(count, ", ".join(f"{c} double" for c in cols) + ", domination_count long, dominated_count long")
+    sums = counted.groupBy(*cols).agg(*(F.sum(c).alias(c) for c in ("domination_count", "dominated_count")))
+    return scores.join(sums, cols).select(record_id, "domination_count", "dominated_count")
 
 
 def pareto_ranks(values: np.ndarray) -> np.ndarray:
@@ -121,13 +182,61 @@ def _fronts_by_blocks(scores: DataFrame, cols: list[str], block_rows: int) -> Da
     return settled
 
 
+class Stairs:
+    """The fronts of rows that come in descending order of their first score: of each the outline in the second and third.
+
+    A row goes to the first front whose outline doesn't cover it; fronts before that all cover it, so it is found by halving.
+    """
+
+    def __init__(self) -> None:
+        self.fronts: list[tuple[list[float], list[float]]] = []
+
+    def place(self, x: float, y: float) -> int:
+        low, high = 0, len(self.fronts)
+        while low < high:
+            mid = (low + high) // 2
+            xs, ys = self.fronts[mid]
+            at = bisect_left(xs, x)
+            if at < len(xs) and ys[at] >= y:
+                low = mid + 1
+            else:
+                high = mid
+        if low == len(self.fronts):
+            self.fronts.append(([], []))
+        xs, ys = self.fronts[low]
+        end = first = bisect_right(xs, x)
+        while first and ys[first - 1] <= y:
+            first -= 1
+        xs[first:end], ys[first:end] = [x], [y]
+        return low + 1
+
+
+def _fronts_in_order(scores: DataFrame, cols: list[str]) -> DataFrame:
+    """``*cols, pareto_rank`` of the distinct rows of up to three scores: one pass in descending order that holds outlines only.
+
+    The ranks of a chain depend on one another, so the pass is one task's; it streams sorted rows, n log(fronts) steps in all.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stairs = Stairs()
+        for f in frames:
+            x, y = (np.nan_to_num(f[c].to_numpy(float), nan=np.inf, posinf=np.inf, neginf=-np.inf).tolist() if c in cols else [0.0] * len(f) for c in ("d1", "d2"))
+            yield f.assign(pareto_rank=[stairs.place(a, b) for a, b in zip(x, y)])
+
+    rows = scores.select(*cols).distinct().repartition(1).sortWithinPartitions(*(F.desc(c) for c in cols))
+    return rows.mapInPandas(run, ", ".join(f"{c} double" for c in cols) + ", pareto_rank long")
+
+
 def ranked_fronts(scores: DataFrame, k: int, exact_rows: int = 5000, record_id: str = "record_id") -> DataFrame:
-    """``pareto_rank`` of each row: one bounded kernel up to ``exact_rows`` rows, blocks of as many distinct rows beyond.
+    """``pareto_rank`` of each row, exactly.
 
-    Time grows with the square of the rows; ``weighted_priority`` is the cheap order of a very large pool.
+    Up to three scores take one streaming pass over the distinct rows.  More take one bounded kernel up to ``exact_rows`` rows, and
+    beyond it blocks of as many distinct rows, in time that grows with the square of the rows.
     """
-    n = scores.limit(exact_rows + 1).count()
     cols = [f"d{i}" for i in range(k)]
+    if k <= 3:
+        return scores.join(_fronts_in_order(scores, cols), cols).select(record_id, "pareto_rank")
+    n = scores.limit(exact_rows + 1).count()
     if n > exact_rows:
         return scores.join(_fronts_by_blocks(scores, cols, exact_rows), cols).select(record_id, "pareto_rank")
 
@@ -140,8 +249,24 @@ def ranked_fronts(scores: DataFrame, k: int, exact_rows: int = 5000, record_id:
 
 
 def first_front(scores: DataFrame, k: int, record_id: str = "record_id") -> DataFrame:
-    """Rows that nothing dominates."""
-    return dominance_counts(scores, k, record_id).where("domination_count = 0").select(record_id)
+    """Rows that nothing dominates.
+
+    Of each batch the rows that one of its rows with the greatest sums of ranks dominates go first; whatever dominates
+    one of the rest is dominated by, or is, one of the rest.
+    """
+    cols = [f"d{i}" for i in range(k)]
+
+    def pruned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            values = f[cols].to_numpy(float)
+            best = np.argsort(-f[cols].rank().sum(axis=1).to_numpy(), kind="stable")[:64]
+            left = np.ones(len(f), bool)
+            for v in values[best]:
+                left &= ~((values <= v).all(1) & (values < v).any(1))
+            yield f[left]
+
+    rest = settled(scores.select(record_id, *cols).mapInPandas(pruned, scores.select(record_id, *cols).schema))
+    return dominance_counts(rest, k, record_id).where("domination_count = 0").select(record_id)
 
 
 def normalised(scores: DataFrame, k: int, record_id: str = "record_id") -> DataFrame:
