@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from winnower.functions import columns
-from winnower.operators import objectives
+from winnower.operators import matching, objectives, selection
 from winnower.plans import catalogue
 
 QUERIES = catalogue.queries()
@@ -99,3 +100,38 @@ def test_outlines_place_many_rows():
     stairs = objectives.Stairs()
     ranks = [stairs.place(x, y) for x, y in zip(rng.integers(0, 25, 100_000).tolist(), rng.random(100_000).tolist())]
     assert max(ranks) == len(stairs.fronts) and sum(len(xs) for xs, _ in stairs.fronts) <= 25 * len(stairs.fronts)
+
+
+def _prints(spark, n):
+    words = np.random.default_rng(5).integers(0, 1 << 32, (n, 2)) & np.random.default_rng(6).integers(0, 1 << 32, (n, 2))
+    return words, spark.createDataFrame(pd.DataFrame({"record_id": range(n), "words": words.tolist()}), "record_id long, words array<long>")
+
+
+def test_butina_takes_pools_of_any_size(spark):
+    words, rows = _prints(spark, 10_001)
+    assert selection.butina(rows, 0.6).count() == 10_001
+    words, rows = words[:400], rows.where("record_id < 400")
+    bits = ((words[:, :, None] >> np.arange(32)) & 1).reshape(400, -1).astype(float)
+    shared = bits @ bits.T
+    near = [np.flatnonzero(x) for x in 1 - shared / (bits.sum(1)[:, None] + bits.sum(1) - shared) <= 0.6]
+    want, label = np.zeros(400, int), 0
+    for i in sorted(range(400), key=lambda i: (-len(near[i]), i)):
+        if not want[i]:
+            label += 1
+            want[near[i][want[near[i]] == 0]] = label
+    got = selection.butina(rows, 0.6).toPandas().sort_values("record_id")
+    assert got.cluster_id.tolist() == want.tolist()
+
+
+def test_maxmin_takes_pools_of_any_size(spark):
+    words, rows = _prints(spark, 50_001)
+    assert selection.maxmin(rows, 3).count() == 3
+    for seeds in (None, words[:20].tolist()):
+        got = selection.maxmin(rows.where("record_id >= 20 and record_id < 320"), 12, seeds=seeds).toPandas()
+        own = words[20:320]
+        distance = lambda a, b: 1 - np.bitwise_count(a & b).sum() / np.bitwise_count(a | b).sum()
+        nearest = [min((distance(np.array(s), w) for s in seeds), default=2.0) if seeds else 2.0 for w in own]
+        for place, (i, d) in enumerate(zip(got.record_id, got.distance)):
+            best = int(np.argmax(nearest))
+            assert (i, d) == (best + 20, min(1.0, nearest[best])), place
+            nearest = [-1.0 if j == best or n < 0 else min(n, distance(own[best], w)) for j, (n, w) in enumerate(zip(nearest, own))]
