@@ -239,3 +239,12 @@ def test_vectors_against_brute_force(spark):
         out, audited = vector_dedup.near_duplicates(df, **options)
         assert sorted(map(tuple, out.collect())) == want and audited["recall"] >= 0.99
     assert vector_dedup.near_duplicates(df.limit(0))[0].count() == 0
+
+
+def test_lines_that_no_leader_meets_are_linked(spark):
+    words = ["the quick brown fox jumps over the lazy dog today", "seven green apples fell from one old tree nearby yes", "seven green apples fell from one old tree nearby yeah",
+             "nothing here resembles any other line in this list"]
+    texts = spark.createDataFrame([(i, i, t) for i, t in enumerate(words)], "line long, check long, norm string")
+    lists = spark.createDataFrame([(7, 1, i, len(t), 0, 3, len(words[0]), len(words[3])) for i, t in enumerate(words)],
+                                  "key long, run long, line long, len int, lo long, hi long, lo_len int, hi_len int")
+    assert {tuple(r) for r in line_dedup.groups_of(lists, texts).select("node", "component").collect()} == {(2, 1)}
