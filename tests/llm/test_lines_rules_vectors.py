@@ -248,3 +248,22 @@ def test_lines_that_no_leader_meets_are_linked(spark):
     lists = spark.createDataFrame([(7, 1, i, len(t), 0, 3, len(words[0]), len(words[3])) for i, t in enumerate(words)],
                                   "key long, run long, line long, len int, lo long, hi long, lo_len int, hi_len int")
     assert {tuple(r) for r in line_dedup.groups_of(lists, texts).select("node", "component").collect()} == {(2, 1)}
+
+
+def test_pairs_left_open_never_become_rows(spark, monkeypatch):
+    """Lines that share most words and are unlike, and one pair that is near: no table grows with the square of their number, and the pair is found."""
+    rng = np.random.default_rng(9)
+    shared = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)]
+    n, sizes, spool = 400, {}, line_dedup.common.spool
+    texts = [" ".join(shared + ["".join(rng.choice(list("ijklmnopqrstuvwx"), 6)) for _ in range(12)]) for _ in range(n)]
+    texts.append(texts[200][:-2] + "zz")
+
+    def counted(df, name, *codec):
+        out = spool(df, name, *codec)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup.common, "spool", counted)
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_removed > 0").collect()
+    assert [r["doc_id"] for r in got] == [n]
+    assert max(sizes.values()) <= 16 * n, sizes
