@@ -198,7 +198,8 @@ def shared_postings(table: DataFrame) -> DataFrame:
     posted = table.where("ell > 0").select("node", "n", "ell", F.posexplode("prefix").alias("pos", "token"))
     posted = posted.select("token", _meta(F.col("n"), F.col("pos"), F.col("ell")).alias("meta"), "node")
     found = common.spool(_runs(posted.repartition("token"), 255), "postings")  # led by the least l
-    own = found.groupBy("node").agg(F.count_distinct("token").alias("c"), F.min(_ell("leader_meta")).alias("least"))
+    # a token counts twice where a copy's postings span two Arrow batches, which only lets a node on
+    own = found.groupBy("node").agg(F.count("*").alias("c"), F.min(_ell("leader_meta")).alias("least"))
     own = own.where("c >= least").select("node")
     common.free_shuffles(table.sparkSession)
     rest = found.select("token", "node", "meta").join(own, "node", "left_semi").select("token", "meta", "node")
