@@ -232,3 +232,12 @@ def test_hashes_tell_patterned_texts_apart():
         starts, ends, _ = common.words_of(data, np.array([0, len(data)]))
         hashes |= {int(common.word_hashes(data, starts, ends)[0]), int(common.run_hashes(data, starts, ends)[0])}
     assert len(hashes) == 4
+
+
+def test_training_gives_memory_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release_memory", lambda: calls.append(1))
+    language_id.train(spark.createDataFrame([(k, "some words " * 9, "ab"[k % 2]) for k in range(40)], "doc_id long, text string, lang string"))
+    assert calls
+    monkeypatch.undo()
+    common.release_memory()

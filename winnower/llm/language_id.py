@@ -73,7 +73,10 @@ def train(docs: DataFrame, per_label: int = 250, max_chars: int = 20_000, doc_id
     sample = crf.labelled_sample(docs, labels, per_label, max_chars, doc_id, text)
     names = sorted({s[2] for s in sample})
     texts, golds = sequences(sample, names)
-    return crf.train(texts, golds, names)
+    model = crf.train(texts, golds, names)
+    del sample, texts, golds
+    common.release_memory()
+    return model
 
 
 def predict(docs: DataFrame, model: crf.Crf, doc_id: str = "doc_id", text: str = "text", extra: list[str] | None = None) -> DataFrame:
