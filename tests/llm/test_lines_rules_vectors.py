@@ -267,3 +267,24 @@ def test_pairs_left_open_never_become_rows(spark, monkeypatch):
     got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_removed > 0").collect()
     assert [r["doc_id"] for r in got] == [n]
     assert max(sizes.values()) <= 16 * n, sizes
+
+
+def test_texts_of_lines_are_stored_once_and_shuffled_once(spark, monkeypatch):
+    """Unlike lines, some repeated: one stored table holds texts, each occurrence once; votes are counted where the texts were sent."""
+    rng = np.random.default_rng(12)
+    texts = ["".join(rng.choice(list("abcdefgh"), 6)) + " " + " ".join("".join(rng.choice(list("ijklmnop"), 7)) for _ in range(9)) for _ in range(60)]
+    texts += texts[:20]
+    held, plans, spool = {}, {}, line_dedup.common.spool
+
+    def counted(df, name, *args):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        out = spool(df, name, *args)
+        if "norm" in out.columns:
+            held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.common, "spool", counted)
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got if r["n_removed"]) == list(range(60, 80))
+    assert held.pop("lines") == 80 and sum(held.values()) <= 2, held
+    assert plans["line-votes"].count("Exchange hashpartitioning") == 1, plans["line-votes"]
