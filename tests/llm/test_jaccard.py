@@ -5,7 +5,7 @@ from itertools import combinations
 
 import numpy as np
 
-from winnower.llm import components, jaccard_join
+from winnower.llm import common, components, jaccard_join
 from winnower.llm.queries import ORACLE, QUERIES
 
 from ..oracle import answer, assert_same
@@ -64,3 +64,26 @@ def test_components_over_many_tasks(spark):
     want = dict(zip(nodes.tolist(), roots.tolist()))
     got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, "a long, b long"), per_task=20).collect()}
     assert {k: v for k, v in got.items() if k != v} == want
+
+
+def test_prefixes_are_posted_in_turns_and_go_before_pairs_are_made(awkward, monkeypatch):
+    """Each turn has tokens of its own; when pairs are made, no table of all prefixes is stored any more."""
+    before, tokens, seen = set(common.stored()), [], []
+    spool, original = common.spool, jaccard_join.cross_pairs
+
+    def counted(df, name, *args):
+        out = spool(df, name, *args)
+        if name == "postings":
+            tokens.append({r["token"] for r in out.select("token").distinct().collect()})
+        return out
+
+    def cross(heads, shared, comps):
+        seen.extend(p for p in common.stored() if p not in before)
+        return original(heads, shared, comps)
+
+    monkeypatch.setattr(common, "spool", counted)
+    monkeypatch.setattr(jaccard_join, "cross_pairs", cross)
+    assert run(awkward) == brute([r for r in awkward.collect()])
+    assert seen and not [p for p in seen if "winnower-prefixes-" in p]
+    *turns, last = tokens
+    assert len(turns) == jaccard_join.TURNS and sum(map(len, turns)) == len(set().union(*turns)) >= len(last) > 0

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ _ELLS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48])
 _VERIFY = 0.25
 #: Members of a token's list that one task compares with one another.
 CHUNK = 4096
+#: Turns in which prefixes are posted, each with its own tokens, so that one turn's shuffle is on disk at a time.
+TURNS = 4
 
 
 def row_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -197,17 +200,35 @@ def shared_postings(table: DataFrame) -> DataFrame:
     """
     posted = table.where("ell > 0").select("node", "n", "ell", F.posexplode("prefix").alias("pos", "token"))
     posted = posted.select("token", _meta(F.col("n"), F.col("pos"), F.col("ell")).alias("meta"), "node")
-    found = common.spool(_runs(posted.repartition("token"), 255), "postings")  # led by the least l
+    turns = []
+    for k in range(TURNS):
+        # led by the least l
+        turns.append(common.spool(_runs(posted.where(F.pmod("token", F.lit(TURNS)) == k).repartition("token"), 255), "postings"))
+        common.free_shuffles(table.sparkSession)
+    found = reduce(DataFrame.unionAll, turns)
     # a token counts twice where a copy's postings span two Arrow batches, which only lets a node on
     own = found.groupBy("node").agg(F.count("*").alias("c"), F.min(_ell("leader_meta")).alias("least"))
     own = own.where("c >= least").select("node")
-    common.free_shuffles(table.sparkSession)
     rest = found.select("token", "node", "meta").join(own, "node", "left_semi").select("token", "meta", "node")
     shared = common.spool(_runs(rest.repartition(common.parts_for(found.count(), 100_000), "token")), "postings")
-    common.unspool(found)
+    common.unspool(*turns)
     return shared
 
 
+def posted_heads(table: DataFrame, shared: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """``node, n, prefix``, stored, of the nodes that share postings, which alone can be in pairs.
+
+    31 bits of a token do to count what two prefixes share: a chance hit can only let a pair on to the exact comparison.
+    """
+    nodes = common.spool(shared.select("node").distinct(), "posted")
+    few = nodes.count() <= broadcast_rows
+    short = F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix")
+    heads = table.where("ell > 0").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    heads = common.spool(heads.select("node", "n", short), "heads")
+    common.unspool(nodes)
+    return heads
+
+
 def _runs(posted: DataFrame, by: int = (1 << 34) - 1) -> DataFrame:
     """The postings of tokens that two nodes or more share, with the list's leader, as the sorted rows stream by.
 
@@ -267,7 +288,7 @@ def star_pairs(shared: DataFrame) -> DataFrame:
 # ---- 4. the rest
 
 
-def cross_pairs(table: DataFrame, shared: DataFrame, comps: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def cross_pairs(heads: DataFrame, shared: DataFrame, comps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``a, b``: pairs of nodes in different components that share enough prefix tokens.
 
     l tokens shared within the first ``n - need + l`` places mean one within the first ``n - need + 1``: pairs are made
@@ -334,18 +355,16 @@ def cross_pairs(table: DataFrame, shared: DataFrame, comps: DataFrame, chunk: in
             yield from emit(held)
 
     found = common.spool(rows.mapInArrow(run, "a long, b long, low long").distinct(), "cross")
-    common.free_shuffles(table.sparkSession)
+    common.free_shuffles(heads.sparkSession)
     nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # 31 bits of a token do to count what two prefixes share: a chance hit can only let a pair on to the exact comparison
-    short = F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix")
-    heads = table.where("ell > 0").select("node", "n", short).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    heads = heads.join(nodes, "node", "left_semi").dropDuplicates(["node"])
     both = found.join(heads.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
     both = both.join(heads.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
     spare = F.col("low") - F.ceil(NUM * (F.col("na") + F.col("nb")) / (NUM + DEN))
     ends = [F.slice(f"p{k}", F.lit(1), (F.col(f"n{k}") + spare).cast("int")) for k in "ab"]
     checked = common.spool(both.where(F.size(F.array_intersect(*ends)) >= F.col("low")).select("a", "b"), "cross-checked")
     common.unspool(found)
-    common.free_shuffles(table.sparkSession)
+    common.free_shuffles(heads.sparkSession)
     return checked
 
 
@@ -400,6 +419,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     common.free_shuffles(spark)
     shared = shared_postings(table)
     common.free_shuffles(spark)
+    # of the prefixes, by far the largest table, what is needed further on is stored apart
+    heads = posted_heads(table, shared)
+    members = common.spool(table.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "members")
+    common.unspool(table)
+    common.free_shuffles(spark)
 
     pairs = common.spool(star_pairs(shared), "stars")
     sets = node_sets(docs, pairs, classes, seed)
@@ -408,16 +432,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     common.unspool(sets, pairs)
     common.free_shuffles(spark)
 
-    pairs = cross_pairs(table, shared, comps)
-    common.unspool(shared)
+    pairs = cross_pairs(heads, shared, comps)
+    common.unspool(shared, heads)
     sets = node_sets(docs, pairs, classes, seed)
     more = common.spool(verified(pairs, sets), "links")
     common.unspool(sets, pairs, comps)
     comps = components.connected(links.unionAll(more))
     common.unspool(links, more)
 
-    members = common.spool(table.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "members")
-    common.unspool(table)
     common.free_shuffles(spark)
     named = classes.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
