@@ -144,6 +144,36 @@ def test_votes_by_hand(spark):
             assert got[part][f"b{k}"] == sum(((hashes[i] >> 3) & line_dedup.LANES) + line_dedup.VOTER for i in own if i % 9 and hashes[i] % 8 == k)
 
 
+def test_keys_are_small_code_and_turns_find_the_same_lists(spark):
+    """Java leaves methods of over 8000 bytes uncompiled; each turn shuffles its keys once, and all turns find what one does."""
+    rng = np.random.default_rng(12)
+    made = [(k, i, 0, text) for k in range(120) for i, text in enumerate(edited(int(rng.integers(4, 90)), rng))]
+    parts = line_dedup.voted_lines(spark.createDataFrame(made, "doc long, own long, pos int, norm string")).cache()
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        text = line_dedup.meeting_keys(parts)._jdf.queryExecution().explainString(mode)
+        turn = line_dedup.meeting_lists(parts, None, 1, 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+    assert 0 < max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)) < 8000
+    assert turn.count("ReusedExchange") == 1
+    one = {tuple(r) for r in line_dedup.meeting_lists(parts).collect()}
+    assert one and {tuple(r) for t in range(2) for r in line_dedup.meeting_lists(parts, None, t, 2).collect()} == one
+
+
+def test_one_occurrence_of_a_line_votes(spark):
+    """Also where rows are equal in id and text: their votes are never added up."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, c, c, 7, 0, f"line number {c} of some words", k) for k, c in enumerate([1, 1, 2, 3, 3, 3])]
+    found = spark.createDataFrame(rows, "row long, line long, check long, own long, pos int, norm string, doc long")
+    firsts = found.groupBy("line", "check").agg(F.min("doc").alias("first"), F.min("row").alias("voter"), F.count("*").alias("n"))
+    got = [sorted(r["line"] for r in line_dedup.voters(found, firsts, t, 2).collect()) for t in range(2)]
+    assert got == [[2], [1, 3]]
+
+
 def test_lines_of_null_and_repeated_ids(spark):
     line = "the quick brown fox jumps over the lazy dog again"
     rows = [(None, line), (None, line + "\nmore"), (None, None), (3, line), (3, line), (3, line + "\nother")]
